@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.packing import pack
 from tallyforge.llm.shared import fresh_folder
 from tallyforge.llm.token_counts import count_tokens
+from tallyforge.llm.warc import round_trip
 
 SEQUENCE = (4096, 2048, 1024, 512)
 
@@ -25,5 +26,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tiers=SEQUENCE)
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op8_packing": op8_packing}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
+
+
+OP9_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+"""
+
+QUERIES = {"op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
