@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.packing import pack
+from tallyforge.llm.secret_scan import secret_digest
 from tallyforge.llm.shared import fresh_folder
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.warc import round_trip
@@ -30,6 +31,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
        CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -37,5 +42,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc}
+QUERIES = {"op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
