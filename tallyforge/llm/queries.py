@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.llm.packing import pack
+from tallyforge.llm.quality import select_quality
 from tallyforge.llm.secret_scan import secret_digest
 from tallyforge.llm.shared import fresh_folder
 from tallyforge.llm.token_counts import count_tokens
@@ -18,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents: their expected grade (0 toxic to 2 good), and how likely each grade is reached."""
+    kept = select_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that a result never depends on what ran before."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_folder(spark, "token-cache"), limit=512)
@@ -42,5 +50,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
