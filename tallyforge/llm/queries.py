@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm.decontamination import find_overlaps
 from tallyforge.llm.licenses import scan_licenses
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import select_quality
@@ -32,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_folder(spark, "token-cache"), limit=512)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op5_token_counts": op5_token_counts, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
