@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.decontamination import find_overlaps
+from tallyforge.llm.jaccard_join import near_components
 from tallyforge.llm.licenses import scan_licenses
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import select_quality
@@ -28,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that a result never depends on what ran before."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_folder(spark, "token-cache"), limit=512)
@@ -60,5 +65,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
