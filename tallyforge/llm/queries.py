@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.decontamination import find_overlaps
 from tallyforge.llm.jaccard_join import near_components
 from tallyforge.llm.licenses import scan_licenses
+from tallyforge.llm.nearest import search
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import select_quality
 from tallyforge.llm.secret_scan import secret_digest
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selected documents: their expected grade (0 toxic to 2 good), and how likely each grade is reached."""
     kept = select_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
@@ -65,5 +70,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op2_quality_classifier": op2_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_quality_classifier": op2_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
