@@ -14,6 +14,7 @@ from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import select_quality
 from tallyforge.llm.secret_scan import secret_digest
 from tallyforge.llm.shared import fresh_folder
+from tallyforge.llm.suffix_dedup import digest, remove_repeats
 from tallyforge.llm.token_counts import count_tokens
 from tallyforge.llm.warc import round_trip
 
@@ -34,6 +35,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(_table(spark, sf_dir, "documents"), least=200))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -70,5 +75,5 @@ SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha
 FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
 """
 
-QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_quality_classifier": op2_quality_classifier, "op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_nearest_neighbours": op1_nearest_neighbours, "op2_quality_classifier": op2_quality_classifier, "op3_suffix_dedup": op3_suffix_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_secret_scan": op10_secret_scan}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
