@@ -4,20 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PRICING = """
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
-       round(sum(l_extendedprice), 4) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
-       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 4) AS sum_charge,
-       round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= DATE '2001-09-02' GROUP BY l_returnflag, l_linestatus
-"""
+from tallyforge.plans import catalogue, tpch  # noqa: F401  they register their queries
+from tallyforge.plans.registry import ORACLES, QUERIES
 
-
-def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return spark.sql(PRICING + " ORDER BY l_returnflag, l_linestatus")
+__all__ = ["ORACLES", "QUERIES", "entry_query"]
 
 
-QUERIES = {}
-ORACLES = {}
+def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["tpch_q01"](spark, sf_dir)
