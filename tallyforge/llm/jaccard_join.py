@@ -3,13 +3,12 @@
 The global order of n-grams is that of their hashes. Equal sets are one node. For a pair of nodes over the threshold, sizes bound the
 number of n-grams that only one of them has, d; cut the order into more than d fragments and some fragments of the two are
 identical. Sizes fall into schemes: a node is cut by its own scheme and the one below, so that every possible pair shares one. With
-m = d + 1 + e fragments, a linked pair shares at least 1 + e of them; that lets empty fragments be left out (up to e), and
-the most frequent of a node's fragments be left out wherever pairs are formed.
+m = d + 1 + e fragments, a linked pair shares at least 1 + e of them, so up to e empty fragments of a node can be left out.
 
 Nodes that share a fragment are linked by stars, never pair by pair: to the least node of their batch, and those to the least of
 all. Overlaps of such a pair are counted for each of ``PARTS`` ranges of the order apart, and summed per pair. Fragments with a star
-edge that is no link are open; only there, and only between nodes of different components, are further pairs counted. So no
-link between components is lost, and a group of near copies costs as many pairs as it has members.
+edge that is no link are open. Their nodes of different components are joined by the first n-grams of each, rarest first, and by what the
+places of these allow; so no link between components is lost, while a group of copies that drift apart forms few pairs.
 """
 
 from __future__ import annotations
@@ -73,11 +72,11 @@ def node_ids(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return ids.view(np.int64), sizes
 
 
-def fragment_keys(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, meta) of the fragments; meta is twice the number of frequent fragments that may be left out, plus which scheme."""
+def fragment_keys(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the fragments."""
     out = []
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, _U)
     own = np.zeros(len(sizes), np.int64)
     own[sizes > 0] = schemes.of(sizes[sizes > 0])
     for below in (0, 1):
@@ -99,15 +98,14 @@ def fragment_keys(rows: np.ndarray, grams: np.ndarray, sizes: np.ndarray, scheme
         fr = r[heads]
         filled = np.bincount(fr, minlength=len(sizes))
         empty = count - filled
-        meta = 2 * np.clip(spare - empty, 0, 120) + below
-        out.append((fr, keys, meta[fr]))
+        out.append((fr, keys))
         for row in np.flatnonzero((empty > spare) & (count > 0)):
             gone = np.setdiff1d(np.arange(count[row], dtype=_U), place[heads][fr == row])
-            out.append((np.full(len(gone), row), mix(mix(gone + (_U(scheme[row]) << _U(32)))), np.full(len(gone), below)))
+            out.append((np.full(len(gone), row), mix(mix(gone + (_U(scheme[row]) << _U(32))))))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int32)
-    r, k, m = (np.concatenate(x) for x in zip(*out))
-    return r, k, m.astype(np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    r, k = (np.concatenate(x) for x in zip(*out))
+    return r, k
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,27 +115,27 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield first, n, *shingles(rows, hashes, k, n)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, meta: np.ndarray, flag: np.ndarray):
-    """Sorted by key and id, without repeats: keys, ids, meta, flag, and the least id of each row's key."""
+def _stars(keys: np.ndarray, ids: np.ndarray, flag: np.ndarray):
+    """Sorted by key and id, without repeats: keys, ids, flag, the least id of each row's key, how many its key has, and whether it is the first."""
     order = np.lexsort((ids, keys))
-    keys, ids, meta, flag = keys[order], ids[order], meta[order], flag[order]
+    keys, ids, flag = keys[order], ids[order], flag[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     at = np.flatnonzero(fresh)
     flag = np.maximum.reduceat(flag, at) if len(at) else flag
-    keys, ids, meta = keys[at], ids[at], meta[at]
+    keys, ids = keys[at], ids[at]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(head)
     size = np.diff(np.append(heads, len(keys)))
-    return keys, ids, meta, flag, np.repeat(ids[heads], size), np.repeat(size, size), head
+    return keys, ids, flag, np.repeat(ids[heads], size), np.repeat(size, size), head
 
 
-_BLOBS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("leaders", pa.binary()), ("meta", pa.binary())])
+_BLOBS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("leaders", pa.binary()), ("stands", pa.binary())])
 
 
 def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
-    """``key, id, leader, meta``: for every fragment that two nodes share, all its nodes, each with the one it is compared with first."""
+    """``key, id, leader``: for every fragment that two nodes share, all its nodes, each with the one it is compared with first."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
@@ -147,27 +145,27 @@ def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: s
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
-            keys, ids, meta = (np.concatenate(x) for x in zip(*held))
-            keys, ids, meta, _, leaders, count, head = _stars(keys, ids, meta, np.zeros(len(keys), np.int32))
+            keys, ids = (np.concatenate(x) for x in zip(*held))
+            keys, ids, _, leaders, count, head = _stars(keys, ids, np.zeros(len(keys), np.int8))
             # Of each key one node goes on, marked if it stands for others.
-            sent, sent_ids, sent_meta = keys[head], ids[head], meta[head] | ((count[head] > 1) << 8).astype(np.int32)
+            sent, sent_ids, stands = keys[head], ids[head], (count[head] > 1).astype(np.int8)
             bucket = ((sent >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, sent[x:y].tobytes(), sent_ids[x:y].tobytes(), None, sent_meta[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+            rows = [(b, sent[x:y].tobytes(), sent_ids[x:y].tobytes(), None, stands[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
             rest = ~head
             for part in np.array_split(np.flatnonzero(rest), max(1, rest.sum() // 20_000)):
                 # These need no grouping, so they are dealt out evenly.
                 if len(part):
                     turn += 1
-                    rows.append((int(mix(keys[part[:1]] + _U(turn))[0] % _U(buckets)), keys[part].tobytes(), ids[part].tobytes(), leaders[part].tobytes(), meta[part].tobytes()))
+                    rows.append((int(mix(keys[part[:1]] + _U(turn))[0] % _U(buckets)), keys[part].tobytes(), ids[part].tobytes(), leaders[part].tobytes(), b""))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOBS)], schema=_BLOBS)
 
         for batch in batches:
             for _, n, rows, grams in _sets(batch.column(0), k):
                 ids, sizes = node_ids(rows, grams, n)
-                r, keys, meta = fragment_keys(rows, grams, sizes, schemes)
+                r, keys = fragment_keys(rows, grams, sizes, schemes)
                 if len(r):
-                    held.append((keys, ids[r], meta))
+                    held.append((keys, ids[r]))
                     size += len(r)
                 if size >= FLUSH:
                     yield flush()
@@ -178,34 +176,34 @@ def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: s
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
-        def out(keys, ids, leaders, meta) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(leaders), pa.array(meta & 255, pa.int32())], ["key", "id", "leader", "meta"])
+        def out(keys, ids, leaders) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(leaders)], ["key", "id", "leader"])
 
         def done() -> Iterator[pa.RecordBatch]:
-            keys, ids, meta = (np.concatenate(x) for x in zip(*held))
-            keys, ids, meta, flag, leaders, count, _ = _stars(keys, ids, meta & 255, meta >> 8)
+            keys, ids, stands = (np.concatenate(x) for x in zip(*held))
+            keys, ids, stands, leaders, count, head = _stars(keys, ids, stands)
             # A key's least node is a row of its own, if there are others.
-            total = np.maximum.reduceat(flag, np.flatnonzero(np.diff(keys, prepend=~keys[:1]))) if len(keys) else flag
-            others = (count > 1) | (np.repeat(total, np.diff(np.append(np.flatnonzero(np.diff(keys, prepend=~keys[:1])), len(keys)))) > 0)
+            heads = np.flatnonzero(head)
+            others = (count > 1) | np.repeat(np.maximum.reduceat(stands, heads) > 0, count[heads])
             if others.any():
-                yield out(keys[others], ids[others], leaders[others], meta[others])
+                yield out(keys[others], ids[others], leaders[others])
 
         for batch in batches:
-            for bucket, keys, ids, leaders, meta in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                keys, ids, meta = np.frombuffer(keys, _U), np.frombuffer(ids, np.int64), np.frombuffer(meta, np.int32)
+            for bucket, keys, ids, leaders, stands in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                keys, ids = np.frombuffer(keys, _U), np.frombuffer(ids, np.int64)
                 if leaders is not None:
-                    yield out(keys, ids, np.frombuffer(leaders, np.int64), meta)
+                    yield out(keys, ids, np.frombuffer(leaders, np.int64))
                     continue
                 if bucket != now and held:
                     yield from done()
                     held = []
                 now = bucket
-                held.append((keys, ids, meta))
+                held.append((keys, ids, np.frombuffer(stands, np.int8)))
         if held:
             yield from done()
 
-    blobs = docs.select(text_col).mapInArrow(cut, "bucket int, keys binary, ids binary, leaders binary, meta binary")
-    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "key long, id long, leader long, meta int")
+    blobs = docs.select(text_col).mapInArrow(cut, "bucket int, keys binary, ids binary, leaders binary, stands binary")
+    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "key long, id long, leader long")
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
@@ -267,19 +265,46 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(F.col("shared") * den >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * num).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, linked: DataFrame, labels: DataFrame) -> DataFrame:
-    """``a, b``: pairs of different components that share an open fragment, those that a node may leave out aside."""
+def open_nodes(members: DataFrame, linked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, label``: nodes of fragments that hold several components, with their component."""
     pair = members.where("id <> leader").select("key", F.col("id").alias("a"), F.col("leader").alias("b"))
     open_keys = pair.join(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti").select("key").distinct()
-    rows = members.select("key", "id", "meta").distinct().join(open_keys, "key", "left_semi")
+    rows = members.select("key", "id").distinct().join(open_keys, "key", "left_semi")
     rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    spread = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "n")
-    rows = rows.join(spread, "key")
-    # A node's fragments are few: the window is bounded by a document's length.
-    order = "row_number() OVER (PARTITION BY id, meta & 1 ORDER BY n DESC, key DESC)"
-    kept = stored(rows.withColumn("rank", F.expr(order)).where("rank > shiftright(meta, 1)").select("key", "id", "label"), "open")
-    left, right = kept.select("key", F.col("id").alias("a"), F.col("label").alias("label_a")), kept.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    return left.join(right, "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
+    spread = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return rows.join(spread, "key", "left_semi").select("id", "label").distinct()
+
+
+def cross_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: pairs of different components among ``nodes`` (id, label) that may be links.
+
+    The n-grams of these nodes are ordered by how many of the nodes have them. Linked sets share one of each other's first
+    size - ceil(size * num / den) + 1 n-grams, and from the places of the one shared first follows how many they can share at most. N-grams that
+    one node alone has only count for the places.
+    """
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, len(batch), 256):
+                part = batch.slice(row, 256)
+                grams = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("grams")]
+                at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                taken = part.select(["id", "size"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *grams])), taken.column("id"), taken.column("size")], ["gram", "id", "size"])
+
+    grams = sets.join(nodes.select("id"), "id", "left_semi").select("id", "size", "grams").mapInArrow(spelled, "gram long, id long, size int")
+    grams = stored(grams, "grams")
+    common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    shared = grams.join(common, "gram")
+    # The windows are of one node each: bounded by a document's length.
+    first = shared.withColumn("place", F.expr("size - count(*) OVER (PARTITION BY id) + row_number() OVER (PARTITION BY id ORDER BY n, gram) - 1"))
+    index = first.where(F.col("place") < F.col("size") - F.ceil(F.col("size") * num / F.lit(den)) + 1).join(nodes, "id")
+    index = stored(index.select("gram", "id", "size", "label", "place"), "index")
+    left, right = (index.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "label", "place")]) for side in "ab")
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    may = most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num
+    both = left.join(right, (left["gram"] == right["gram"]) & F.expr("id_a < id_b AND label_a <> label_b") & may)
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def node_table(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,14 +333,15 @@ def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     sets = stored(node_sets(docs, nodes, k, text_col=text_col), "sets")
     linked = stored(links(stars, sets, num, den), "links")
     labels = stored(connected_components(linked), "labels")
-    more = cross_pairs(members, linked, labels)
+    more = cross_pairs(stored(open_nodes(members, linked, labels), "open"), sets, num, den)
     known = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = stored(links(more.join(known, ["a", "b"], "left_anti"), sets, num, den), "links")
     if not found.isEmpty():
         labels = stored(connected_components(linked.unionByName(found)), "labels")
     table = stored(node_table(docs, k, id_col=id_col, text_col=text_col), "nodes")
     full = table.where("n_shingles > 0").join(labels, "node", "left").select(id_col, "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = full.groupBy("label").agg(F.min(id_col).alias("component_id"))
+    # Written first, so that the join's two sides are plain and a component of very many rows can be split.
+    least = stored(full.groupBy("label").agg(F.min(id_col).alias("component_id")), "least")
     empty = table.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
     return full.join(least, "label").select(id_col, "n_shingles", "component_id").unionByName(empty)
 
