@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.encoding import ChunkEncoder, TokenizerFile
-from tallyforge.llm.shared import exists
+from tallyforge.llm.shared import exists, stored
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -58,6 +58,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     if exists(spark, at):
         distinct = distinct.join(spark.read.schema(CACHE_SCHEMA).parquet(at), "digest", "left_anti")
     count_misses(distinct, file).write.mode("append").parquet(at)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that both sides of the join are plain and the rows of a hot digest can be split.
+    counts = stored(spark.read.schema(CACHE_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     found = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest")
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
