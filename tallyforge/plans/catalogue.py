@@ -271,8 +271,7 @@ query("approximate_sum", "SELECT true AS within")(lambda t: _bernstein(t))
 query("histogram", "WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 100)) + 1, 100) AS BIGINT) AS bucket, count(*) AS n FROM orders, m GROUP BY 1")(lambda t: sketches.histogram(t.orders, "o_totalprice").select("bucket", "n"))
 query("hamming_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE bit_count(xor(l_orderkey, 12345)) <= 3")(lambda t: similarity.within_hamming(t.lineitem, "l_orderkey", 12345, 3).select("l_orderkey", "l_linenumber"))
 query("hamming_distance", "SELECT o_orderkey, CAST(bit_count(xor(o_orderkey, o_custkey)) AS BIGINT) AS d FROM orders")(lambda t: t.orders.select("o_orderkey", similarity.hamming(F.col("o_orderkey"), F.col("o_custkey")).cast("long").alias("d")))
-_COS = "list_sum(list_transform(range(1, 65), i -> CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
-query("cosine_top_k", f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round({_COS.format(a='embedding', b='e')} / sqrt({_COS.format(a='embedding', b='embedding')} * {_COS.format(a='e', b='e')}), 8) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")(lambda t: _cosine(t))
+query("cosine_top_k", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 8) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")(lambda t: _cosine(t))
 query("lsh_signatures")(lambda t: similarity.signatures(t.embeddings.select("vec_id", "embedding"), "embedding", 64, tables=4, bits=8).drop("embedding"))
 query("bit_slices", "SELECT CAST(b AS INTEGER) AS bit, CAST(sum((o_custkey >> b) & 1) AS BIGINT) AS n FROM orders, range(16) r(b) GROUP BY b")(lambda t: similarity.bit_slices(t.orders, "o_custkey", 16))
 query("zone_map", "SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n FROM orders")(lambda t: similarity.zone_map(t.orders, ["o_orderkey"]).agg(F.min("min_o_orderkey").alias("low"), F.max("max_o_orderkey").alias("high"), F.sum("rows").alias("n")))
