@@ -149,12 +149,19 @@ def fit(docs: DataFrame, rated: DataFrame, *, id_col: str = "doc_id", text_col:
     return CumulativeLink.fit(rows_, feature, np.array(got.column("grade").to_pylist(), np.int64), n_grades, **how)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it while a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def score(docs: DataFrame, model: CumulativeLink, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``tails`` (P(grade >= 1), P(grade >= 2), ...). Null text is scored as empty."""
+    """``docs`` with ``expected_grade`` and ``tails`` (P(grade >= 1), P(grade >= 2), ...) as its last columns; where docs has columns of these
+    names, they get underscores at their ends. Null text is scored as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    taken = {c.lower() for c in docs.columns}
-    if taken & {"expected_grade", "tails"}:
-        raise ValueError("docs has a column named expected_grade or tails")
+    grade = free_name("expected_grade", docs.columns)
+    tail = free_name("tails", docs.columns)
 
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
@@ -167,8 +174,8 @@ def score(docs: DataFrame, model: CumulativeLink, *, text_col: str = "text") ->
             k = len(model.thresholds)
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), pa.array(flat))
 
-    tails = F.arrow_udf(scored, "array<double>")
-    return docs.withColumn("tails", tails(F.col(text_col))).withColumn("expected_grade", F.aggregate("tails", F.lit(0.0), lambda a, x: a + x))
+    scored_rows = docs.withColumn(tail, F.arrow_udf(scored, "array<double>")(F.col(text_col)))
+    return scored_rows.select(*docs.columns, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x).alias(grade), tail)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, *, least_grade: int = 2, least_tail: float = 0.35, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> DataFrame:
@@ -179,4 +186,5 @@ def select_quality(docs: DataFrame, labels: DataFrame, *, least_grade: int = 2,
     """
     rated = labels.select(F.col(id_col), grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     model = fit(docs, rated, id_col=id_col, text_col=text_col, most=most)
-    return score(docs, model, text_col=text_col).where(F.col("tails")[least_grade - 1] >= least_tail)
+    scored = score(docs, model, text_col=text_col)
+    return scored.where(F.col(scored.columns[-1])[least_grade - 1] >= least_tail)
