@@ -72,10 +72,12 @@ class PostingIndex:
         rows, at = np.nonzero(chosen)
         return rows, lists[rows, at]
 
-    def probe(self, queries: np.ndarray, *, most: int = 64, ratio: float = 1.4) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list) of the lists that unit queries read."""
-        lists, distance = self.nearest(queries, most)
-        rows, at = np.nonzero(distance <= ratio * np.maximum(distance[:, :1], 1e-3))
+    def probe(self, queries: np.ndarray, *, most: int = 64, ratio: float = 1.4, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) of the lists that unit queries read: the ``least`` nearest, and those within the ratio."""
+        lists, distance = self.nearest(queries, max(most, least))
+        near = distance <= ratio * np.maximum(distance[:, :1], 1e-3)
+        near[:, :least] = np.isfinite(distance[:, :least])
+        rows, at = np.nonzero(near)
         return rows, lists[rows, at]
 
 
