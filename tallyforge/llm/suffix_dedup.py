@@ -2,10 +2,11 @@
 
 A Burrows-Wheeler transform is built for bounded batches of text (``bwt``), in which threshold-bounded interval expansion finds the
 repeated strings. What has to meet in a batch is found by anchors: of each ``least`` bytes, the pieces of ``PIECE`` bytes whose hash is
-smallest. Equal strings have equal anchors at equal places, so an anchor that occurs once rules out all strings around it. The context
-of an anchor holds every string of ``least`` bytes around it: contexts that occur more than once are repeated as a whole; those that
-occur once, but share their anchor with others, are compared by the transform, together with one of each of the others. The contexts of
-an anchor beyond ``BLOCK`` go to several batches, and strings of these are matched by their hashes across the batches.
+smallest. Each string has one anchor, and equal strings have equal anchors at equal places, so an anchor that occurs once rules out its
+strings. An anchor's context is what its strings cover: contexts that occur more than once are repeated as a
+whole; those that occur once, but share their anchor with others, are compared, together with one of each of the others: in a batch, hashes
+rule out the strings that are alone, and the transform tells the repeats in what is left. The contexts of an anchor beyond ``BLOCK`` go to
+several batches, and strings of these are matched by their hashes across the batches.
 
 Documents are told apart by the hash and length of their text, so copies are worked on once; anchors and contexts by 64-bit hashes.
 """
@@ -68,26 +69,28 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: document, place in it, hash of its piece, and hash of its context."""
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of each anchor: document, place, hash of its piece, and the first and last start of the strings it stands for. Places are in ``data``.
+
+    Every string has one anchor, so the runs of starts are disjoint."""
     none = np.zeros(0, np.int64)
     if len(data) < least:
-        return none, none, none.view(_U), none.view(_U)
+        return none, none, none.view(_U), none, none
     hashes = Hashes(data)
     at = np.arange(len(data) - PIECE + 1)
     pieces = mix(hashes.of(at, at + PIECE))
     bits = _U(int(len(data)).bit_length())
-    width = least - PIECE + 1
     # Places in the low bits decide ties, the leftmost first, so equal strings choose equal places.
-    low = _sliding_min((pieces >> bits << bits) | at.astype(_U), width) & ((_U(1) << bits) - _U(1))
+    low = _sliding_min((pieces >> bits << bits) | at.astype(_U), least - PIECE + 1) & ((_U(1) << bits) - _U(1))
     row = np.searchsorted(offsets, np.arange(len(low)), "right") - 1
-    chosen = low[np.arange(len(low)) + least <= offsets[row + 1]].astype(np.int64)
-    chosen = chosen[np.append(True, chosen[1:] != chosen[:-1])] if len(chosen) else chosen
-    row = np.searchsorted(offsets, chosen, "right") - 1
-    start, stop = offsets[row], offsets[row + 1]
-    lo, hi = np.maximum(start, chosen - (least - PIECE)), np.minimum(stop, chosen + least)
-    shape = ((chosen - lo).astype(_U) << _U(32)) + (hi - lo).astype(_U)
-    return row, chosen - start, pieces[chosen], mix(hashes.of(lo, hi) ^ mix(shape))
+    starts = np.flatnonzero(np.arange(len(low)) + least <= offsets[row + 1])
+    if not len(starts):
+        return none, none, none.view(_U), none, none
+    chosen, row = low[starts].astype(np.int64), row[starts]
+    head = np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]))
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(starts)) - 1
+    return row[first], chosen[first], pieces[chosen[first]], starts[first], starts[last]
 
 
 def text_keys(text):
@@ -122,7 +125,7 @@ def anchor_counts(texts: DataFrame, least: int) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, repeated: DataFrame, least: int) -> DataFrame:
-    """``anchor, context, t, n, place, times``: the places of repeated anchors; times counts equal texts of a batch."""
+    """``anchor, context, t, n, first, last, times``: the runs of starts of repeated anchors; times counts equal texts of a batch."""
     bits = texts.sparkSession.sparkContext.broadcast(_bits(repeated, "anchor"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +135,26 @@ def occurrences(texts: DataFrame, repeated: DataFrame, least: int) -> DataFrame:
             copies = np.zeros(len(t), np.int64)
             copies[first] = times
             for start, data, offsets in slices(batch.column("text")):
-                row, place, anchor, context = anchors(data, offsets, least)
+                row, place, anchor, first, last = anchors(data, offsets, least)
+                keep = _passes(bits.value, anchor) & (copies[row + start] > 0)
+                if not keep.any():
+                    continue
+                row, place, anchor, first, last = (x[keep] for x in (row, place, anchor, first, last))
+                shape = mix(((place - first + least).astype(_U) << _U(32)) + (last - first).astype(_U))
+                context = mix(Hashes(data).of(first, last + least) ^ shape)
+                base = offsets[row]
                 row = row + start
-                keep = _passes(bits.value, anchor) & (copies[row] > 0)
-                row, place, anchor, context = row[keep], place[keep], anchor[keep], context[keep]
-                cols = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(t[row]), pa.array(n[row]), pa.array(place, pa.int32()), pa.array(copies[row], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "t", "n", "place", "times"])
+                cols = [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(t[row]), pa.array(n[row]), pa.array(first - base, pa.int32()), pa.array(last - base, pa.int32()), pa.array(copies[row], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "t", "n", "first", "last", "times"])
 
-    found = texts.select("t", "n", "text").mapInArrow(places, "anchor long, context long, t long, n int, place int, times int")
+    found = texts.select("t", "n", "text").mapInArrow(places, "anchor long, context long, t long, n int, first int, last int, times int")
     return found.join(repeated, "anchor", "left_semi")
 
 
 def contexts(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """``wanted`` (anchor, salt, salts, times, t, n, place) with ``lo``, the context's first byte in its text, and its ``bytes``."""
+    """``wanted`` (anchor, salt, salts, times, t, n, first, last) with the ``bytes`` of its strings."""
     spark = texts.sparkSession
-    per_text = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("anchor", "salt", "salts", "times", "place")).alias("places"))
+    per_text = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("anchor", "salt", "salts", "times", "first", "last")).alias("places"))
     bits = spark.sparkContext.broadcast(_bits(wanted, "t"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,12 +177,11 @@ def contexts(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 for t, n, text, places in zip(*(batch.column(c).slice(part, 64) for c in ("t", "n", "text", "places"))):
                     data = text.as_py().encode()
                     for p in places.as_py():
-                        lo, hi = max(0, p["place"] - (least - PIECE)), min(len(data), p["place"] + least)
-                        out.append((p["anchor"], p["salt"], p["salts"], p["times"], t.as_py(), n.as_py(), lo, data[lo:hi]))
+                        out.append((p["anchor"], p["salt"], p["salts"], p["times"], t.as_py(), n.as_py(), p["first"], data[p["first"] : p["last"] + least]))
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], ["anchor", "salt", "salts", "times", "t", "n", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], ["anchor", "salt", "salts", "times", "t", "n", "first", "bytes"])
 
-    return rows.mapInArrow(cut, "anchor long, salt int, salts int, times long, t long, n int, lo int, bytes binary")
+    return rows.mapInArrow(cut, "anchor long, salt int, salts int, times long, t long, n int, first int, bytes binary")
 
 
 _FOUND = pa.schema([("kind", pa.int32()), ("t", pa.int64()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("string", pa.int64()), ("anchor", pa.int64())])
@@ -185,47 +192,57 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
     all distinct strings of a batch (kind 1), with their place where it is not known yet whether they are repeated (kind 2)."""
 
     def batch_out(held: list[tuple]) -> pa.RecordBatch | None:
-        strings = [h[7] for h in held]
-        groups = repeat_groups(strings, least)
-        lengths = np.array([len(s) for s in strings])
-        offsets = np.append(0, np.cumsum(lengths))
-        owner = np.repeat(np.arange(len(strings)), lengths)
+        """Hashes of all strings rule out those that are alone in the batch. What is left of the contexts, each distinct piece once, is
+        transformed."""
+        lengths = np.array([len(h[7]) for h in held])
+        stops = np.cumsum(lengths)
+        data = np.frombuffer(b"".join(h[7] for h in held), np.uint8)
+        runs = lengths - least + 1
+        owner = np.repeat(np.arange(len(held)), runs)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        at = (stops - lengths)[owner] + within
+        hashes = Hashes(data).of(at, at + least).view(np.int64)
         single = np.array([h[3] < 2 for h in held])
-        # Contexts of one text overlap: a group is a repeat only if it starts at two places, or is of a context that occurs twice.
-        at = np.flatnonzero(groups >= 0)
-        texts = np.unique(np.array([(h[4], h[5]) for h in held]), axis=0, return_inverse=True)[1].ravel()
-        place = np.array([h[6] for h in held])[owner[at]] + at - offsets[owner[at]]
-        origins = np.unique(np.stack([groups[at], texts[owner[at]], place]), axis=1)[0]
-        many = np.bincount(origins, minlength=groups.max() + 2) > 1
-        many[groups[at][~single[owner[at]]]] = True
-        many[-1] = False
-        flags = many[groups]
+        times = np.where(single, 1, 2)[owner]
+        _, same = np.unique(hashes, return_inverse=True)
+        likely = np.bincount(same, times)[same] > 1
+        edge = np.append(True, (likely[1:] != likely[:-1]) | (owner[1:] != owner[:-1]))
+        heads = np.flatnonzero(edge)
+        tails = np.append(heads[1:], len(owner)) - 1
+        heads, tails = heads[likely[heads]], tails[likely[heads]]
+        pieces: dict[bytes, int] = {}
+        number = [pieces.setdefault(data[at[a] : at[b] + least].tobytes(), len(pieces)) for a, b in zip(heads, tails)]
+        often = np.bincount(number, times[heads], minlength=len(pieces)) > 1 if number else np.zeros(0, bool)
+        strings = list(pieces)
+        shared = repeat_groups(strings, least) >= 0
+        begin = np.append(0, np.cumsum([len(x) for x in strings])).astype(np.int64)
+        flags = np.zeros(len(owner), bool)
+        for a, b, k in zip(heads, tails, number):
+            flags[a : b + 1] = True if often[k] else shared[begin[k] : begin[k] + b - a + 1]
+        info = {k: np.array([h[i] for h in held]) for k, i in (("anchor", 0), ("salts", 2), ("t", 4), ("n", 5), ("first", 6))}
         hit = flags & single[owner]
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # A context ends in least - 1 bytes that start no string, so no run passes from one context to the next.
-        out = []
-        for a, b in zip(begin, end):
-            h = held[owner[a]]
-            base = h[6] - int(offsets[owner[a]])
-            out.append((0, h[4], h[5], base + int(a), base + int(b) - 1, 0, 0))
-        several = [k for k, h in enumerate(held) if h[2] > 1]
-        if several:
-            data = np.frombuffer(b"".join(strings), np.uint8)
-            hashes = Hashes(data)
-            for k in several:
-                h = held[k]
-                at = np.arange(offsets[k], offsets[k + 1] - least + 1)
-                for a, x in zip(at, hashes.of(at, at + least).view(np.int64)):
-                    known = bool(flags[a]) or h[3] > 1
-                    place = h[6] + int(a - offsets[k])
-                    out.append((1 if known else 2, h[4], h[5], place, place, int(x), h[0]))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND) if out else None
+        edge = np.append(True, (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1]))
+        heads = np.flatnonzero(edge)
+        tails = np.append(heads[1:], len(owner)) - 1
+        heads, tails = heads[hit[heads]], tails[hit[heads]]
+        cols = [np.zeros(len(heads), np.int32), info["t"][owner[heads]], info["n"][owner[heads]], info["first"][owner[heads]] + within[heads], info["first"][owner[heads]] + within[tails], np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)]
+        several = np.flatnonzero(info["salts"][owner] > 1)
+        if len(several):
+            # Each known repeat once, and every string that is none here.
+            known = (flags | ~single[owner])[several]
+            one = np.unique(np.stack([info["anchor"][owner[several]], hashes[several]]), axis=1, return_index=True)[1]
+            keep = ~known
+            keep[one] = True
+            x, known = several[keep], known[keep]
+            place = info["first"][owner[x]] + within[x]
+            more = [np.where(known, 1, 2), info["t"][owner[x]], info["n"][owner[x]], place, place, hashes[x], info["anchor"][owner[x]]]
+            cols = [np.concatenate(c) for c in zip(cols, more)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND)], schema=_FOUND) if len(cols[0]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "salt", "salts", "times", "t", "n", "lo", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "salt", "salts", "times", "t", "n", "first", "bytes"))):
                 if row[:2] != now and size >= BATCH_BYTES:
                     if (got := batch_out(held)) is not None:
                         yield got
@@ -244,13 +261,12 @@ def repeated_runs(texts: DataFrame, least: int) -> DataFrame:
     """``t, n, first, last``: runs of repeated starts; runs of one text may overlap."""
     repeated = stored(anchor_counts(texts, least), "anchors")
     found = stored(occurrences(texts, repeated, least), "places")
-    kinds = found.groupBy("anchor", "context").agg(F.sum("times").alias("times"), F.min(F.struct("t", "n", "place")).alias("one"))
+    kinds = found.groupBy("anchor", "context").agg(F.sum("times").alias("times"), F.min(F.struct("t", "n", "first", "last")).alias("one"))
     kinds = stored(kinds, "contexts")
-    low, high = F.greatest(F.lit(0), F.col("place") - (least - PIECE)), F.least(F.col("place"), F.col("n") - least)
-    whole = found.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("t", "n", low.alias("first"), high.alias("last"))
+    whole = found.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("t", "n", "first", "last")
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.min("times").alias("least_times")).where("n_contexts > 1 AND least_times = 1")
     salts = F.ceil(F.col("n_contexts") / BLOCK).cast("int")
-    wanted = kinds.join(groups, "anchor").withColumn("salts", salts).select("anchor", F.pmod(F.xxhash64("context"), F.col("salts")).cast("int").alias("salt"), "salts", "times", "one.t", "one.n", "one.place")
+    wanted = kinds.join(groups, "anchor").withColumn("salts", salts).select("anchor", F.pmod(F.xxhash64("context"), F.col("salts")).cast("int").alias("salt"), "salts", "times", "one.t", "one.n", "one.first", "one.last")
     compared = stored(compare(contexts(texts, stored(wanted, "wanted"), least), least), "compared")
     runs = whole.unionByName(compared.where("kind = 0").select("t", "n", "first", "last"))
     # Strings of one anchor in several batches: those that two batches have.
