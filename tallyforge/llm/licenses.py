@@ -90,8 +90,7 @@ class Sentences:
         self.open: list[tuple[str, str, re.Pattern]] = []
         self.parts: dict[str, list[tuple[str, ...]]] = {}
         for name, text in known:
-            pieces = re.split(r"<[a-z]+>", text)
-            if len(pieces) == 1:
+            if "<" not in text:
                 # The cutter may divide a known sentence as well; all of its parts, in order, tell it.
                 parts = [p for p in map(normalise, _END.split(text)) if p]
                 if len(parts) == 1:
@@ -99,8 +98,11 @@ class Sentences:
                 else:
                     self.parts.setdefault(parts[0], []).append((name, *parts))
             else:
-                shape = r"(?: \w+){1,8} ".join(re.escape(normalise(p)) for p in pieces)
-                self.open.append((name, normalise(pieces[0]), re.compile(shape)))
+                hole = "holeinatemplate"
+                words = normalise(re.sub(r"<[a-z]+>", hole, text)).split(" ")
+                shape = " ".join(r"\w+(?: \w+){0,7}" if w == hole else re.escape(w) for w in words)
+                begin = " ".join(words[: words.index(hole)])
+                self.open.append((name, begin, re.compile(shape)))
 
     def identify(self, normal: list[str]) -> list[str | None]:
         """The identifier of each sentence, or None; one that was cut into parts has it at its last part."""
