@@ -142,6 +142,8 @@ class Engine:
     def _select(self, text: str, params: dict | None = None) -> DataFrame:
         text, found = extensions.strip(text)
         self.hints = found.hints
+        quoted = lambda m: "NULL" if (v := self.context.get(m[1])) is None else "'" + v.replace("'", "''") + "'"
+        text = re.sub(r"\bSESSION_CONTEXT\s*\(\s*N?'([^']*)'\s*\)", quoted, text, flags=re.I)
         text = self._as_of(text)
         if find(text, "PIVOT"):
             text = self._pivot(text)
@@ -676,6 +678,16 @@ class Engine:
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[1]}({', '.join(params)}) RETURNS {spark_type(m[3])} RETURN {body}")
         return self._status("created")
 
+    def set_context(self, key: str, value: str | None) -> None:
+        """A value of the session; None removes it."""
+        if value is None:
+            self.context.pop(key, None)
+        else:
+            self.context[key] = value
+
+    def get_context(self, key: str) -> str | None:
+        return self.context.get(key)
+
     def _create_type(self, text: str) -> DataFrame:
         m = re.match(r"CREATE\s+TYPE\s+([\w.]+)\s+AS\s+TABLE\s*", text, re.I)
         if not m:
