@@ -6,8 +6,8 @@ identical. Sizes fall into schemes: a node is cut by its own scheme and the one
 m = d + 1 + e fragments, a linked pair shares at least 1 + e of them, so up to e empty fragments of a node can be left out.
 
 Nodes that share a fragment are linked by stars, never pair by pair: to the least node of their batch, and those to the least of
-all. Overlaps of such a pair are counted for each of ``PARTS`` ranges of the order apart, and summed per pair. Fragments with a star
-edge that is no link are open. Their nodes of different components are joined by the first n-grams of each, rarest first, and by what the
+all; of these edges each node tries the one of most fragments. Overlaps of such a pair are counted for each of ``PARTS`` ranges of the
+order apart, and summed per pair. Fragments with an edge that is no link, or was not tried, are open if they hold several components. Their nodes of different components are joined by the first n-grams of each, rarest first, and by what the
 places of these allow; so no link between components is lost, while a group of copies that drift apart forms few pairs.
 """
 
@@ -328,8 +328,11 @@ def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     N-grams and sets are told apart by 64-bit hashes.
     """
     members = stored(fragment_members(docs, k, num, den, text_col=text_col), "members")
-    stars = stored(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    nodes = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    # Each node is compared first with the one it shares most fragments with; a window holds what one node shares.
+    met = members.where("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
+    best = met.withColumn("rank", F.expr("row_number() OVER (PARTITION BY a ORDER BY n DESC, b)")).where("rank = 1")
+    stars = stored(best.select("a", "b"), "stars")
+    nodes = members.select("id").distinct()
     sets = stored(node_sets(docs, nodes, k, text_col=text_col), "sets")
     linked = stored(links(stars, sets, num, den), "links")
     labels = stored(connected_components(linked), "labels")
