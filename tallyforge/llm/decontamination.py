@@ -35,8 +35,8 @@ def _seed(h: Column, i: Column, mask: int) -> Column:
 
 
 def _bits(seed: Column) -> list[Column]:
-    """Two places in the filter."""
-    return [F.pmod(seed, F.lit(BLOOM_LONGS * 64)), F.pmod(F.shiftright(seed, 27), F.lit(BLOOM_LONGS * 64))]
+    """Two places in the filter, whose length is a power of two."""
+    return [seed.bitwiseAND(F.lit(BLOOM_LONGS * 64 - 1)), F.shiftright(seed, 27).bitwiseAND(F.lit(BLOOM_LONGS * 64 - 1))]
 
 
 def _around(h: Column, i: Column) -> Column:
@@ -76,17 +76,15 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, agreeing: float = 0.8, i
     # Fixed in size; as text it becomes a literal of the plan, which the optimizer folds to an array once.
     numbers = bloom_filter(tests).select(F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bloom")).first()["bloom"]
     bloom = F.split(F.lit(numbers), ",").cast("array<bigint>")
-    set_at = lambda bit: F.getbit(F.get(bloom, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+    set_at = lambda bit: F.getbit(F.get(bloom, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def passes(seed: Column) -> Column:
         first, second = _bits(seed)
-        return seed.isNotNull() & set_at(first) & set_at(second)
+        return set_at(first) & set_at(second)
 
     def chosen(h: Column, i: Column) -> Column:
-        out = passes(_seed(h, i, 0))
-        for m in range(1, len(MASKS)):
-            out = out | passes(_seed(h, i, m))
-        return out
+        """Each seed is bound before it is tested, so that it is computed once; the test of a null seed is null, which chooses nothing."""
+        return F.coalesce(F.exists(F.array(*[_seed(h, i, m) for m in range(len(MASKS))]), passes), F.lit(False))
 
     rows = docs.select(F.col(id_col).alias("id"), _seeded(word_hashes(F.col(text_col)), chosen).alias("s"))
     hits = rows.select("id", F.col("s.place").alias("place"), F.explode("s.seeds").alias("seed"), F.col("s.around").alias("around")).where("seed IS NOT NULL").join(tests, "seed")
