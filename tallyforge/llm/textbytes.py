@@ -37,8 +37,8 @@ def byte_table(separators: bytes, fold: bool = True) -> np.ndarray:
 
 #: Words are runs without blank and 9-13; A-Z count as a-z.
 SPACED = byte_table(bytes([32, *range(9, 14)]))
-#: NUL is an ordinary byte of a word there, but not the separator that 0 stands for.
-SPACED[0] = 1
+#: NUL is an ordinary byte of a word there, not the separator that 0 stands for; 255 occurs in no UTF-8 text.
+SPACED[0] = 255
 #: Words are runs of letters, digits and bytes beyond ASCII.
 LETTERED = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
