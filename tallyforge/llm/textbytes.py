@@ -91,7 +91,8 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, k: int, n_rows: int) -> tuple
     with np.errstate(over="ignore"):
         full = np.zeros(len(rows), _U)
         for j in range(k):
-            full[: len(rows) - j] += hashes[j:] * _PLACE[1000 + j]
+            fits = max(0, len(rows) - j)
+            full[:fits] += hashes[j:] * _PLACE[1000 + j]
     keep = left >= k
     out_rows, out = rows[keep], _splitmix(full[keep])
     short = np.flatnonzero((counts > 0) & (counts < k))
