@@ -5,8 +5,8 @@ number of n-grams that only one of them has, d; cut the order into more than d f
 identical. Sizes fall into schemes: a node is cut by its own scheme and the one below, so that every possible pair shares one. With
 m = d + 1 + e fragments, a linked pair shares at least 1 + e of them, so up to e empty fragments of a node can be left out.
 
-Nodes that share a fragment are linked by stars, never pair by pair: to the least node of their batch, and those to the least of
-all; of these edges each node tries the one of most fragments. Overlaps of such a pair are counted for each of ``PARTS`` ranges of the
+Nodes that share a fragment are linked by stars, never pair by pair: to the node of their batch that shares most fragments, and those to
+the one of all batches; of these edges each node tries the one of most fragments. Overlaps of such a pair are counted for each of ``PARTS`` ranges of the
 order apart, and summed per pair. Fragments with an edge that is no link, or was not tried, are open if they hold several components. Their nodes of different components are joined by the first n-grams of each, rarest first, and by what the
 places of these allow; so no link between components is lost, while a group of copies that drift apart forms few pairs.
 """
@@ -115,23 +115,30 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield first, n, *shingles(rows, hashes, k, n)
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, flag: np.ndarray):
-    """Sorted by key and id, without repeats: keys, ids, flag, the least id of each row's key, how many its key has, and whether it is the first."""
-    order = np.lexsort((ids, keys))
-    keys, ids, flag = keys[order], ids[order], flag[order]
+def _stars(keys: np.ndarray, ids: np.ndarray, weight: np.ndarray):
+    """Sorted by key, weight (greatest first) and id, without repeats: keys, ids, weight, the first id of each row's key, how many its key has, and
+    whether it is that first one."""
+    order = np.lexsort((ids, -weight, keys))
+    keys, ids, weight = keys[order], ids[order], weight[order]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    at = np.flatnonzero(fresh)
-    flag = np.maximum.reduceat(flag, at) if len(at) else flag
-    keys, ids = keys[at], ids[at]
+    keys, ids, weight = keys[fresh], ids[fresh], weight[fresh]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(head)
     size = np.diff(np.append(heads, len(keys)))
-    return keys, ids, flag, np.repeat(ids[heads], size), np.repeat(size, size), head
+    return keys, ids, weight, np.repeat(ids[heads], size), np.repeat(size, size), head
 
 
-_BLOBS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("leaders", pa.binary()), ("stands", pa.binary())])
+def _weights(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Per row: how many fragments its node shares with others of the batch. The node that copies have drifted from shares most."""
+    keys_, ids_, _, _, size, _ = _stars(keys, ids, np.zeros(len(keys), np.int32))
+    node, at = np.unique(ids_, return_inverse=True)
+    shared = np.bincount(at, size > 1)
+    return shared[np.searchsorted(node, ids)].astype(np.int32)
+
+
+_BLOBS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("leaders", pa.binary()), ("weights", pa.binary())])
 
 
 def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
@@ -146,12 +153,12 @@ def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: s
         def flush() -> pa.RecordBatch:
             nonlocal turn
             keys, ids = (np.concatenate(x) for x in zip(*held))
-            keys, ids, _, leaders, count, head = _stars(keys, ids, np.zeros(len(keys), np.int8))
-            # Of each key one node goes on, marked if it stands for others.
-            sent, sent_ids, stands = keys[head], ids[head], (count[head] > 1).astype(np.int8)
+            keys, ids, weight, leaders, count, head = _stars(keys, ids, _weights(keys, ids))
+            # Of each key one node goes on, marked by the sign of its weight if it stands for others.
+            sent, sent_ids, weights = keys[head], ids[head], np.where(count[head] > 1, weight[head], -1 - weight[head]).astype(np.int32)
             bucket = ((sent >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, sent[x:y].tobytes(), sent_ids[x:y].tobytes(), None, stands[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+            rows = [(b, sent[x:y].tobytes(), sent_ids[x:y].tobytes(), None, weights[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
             rest = ~head
             for part in np.array_split(np.flatnonzero(rest), max(1, rest.sum() // 20_000)):
                 # These need no grouping, so they are dealt out evenly.
@@ -180,16 +187,21 @@ def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: s
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids), pa.array(leaders)], ["key", "id", "leader"])
 
         def done() -> Iterator[pa.RecordBatch]:
-            keys, ids, stands = (np.concatenate(x) for x in zip(*held))
-            keys, ids, stands, leaders, count, head = _stars(keys, ids, stands)
-            # A key's least node is a row of its own, if there are others.
-            heads = np.flatnonzero(head)
-            others = (count > 1) | np.repeat(np.maximum.reduceat(stands, heads) > 0, count[heads])
+            keys, ids, weight = (np.concatenate(x) for x in zip(*held))
+            stands = np.unique(keys[weight >= 0])
+            weight = np.where(weight < 0, -1 - weight, weight)
+            # Batches may weigh one node differently; its greatest weight counts.
+            order = np.lexsort((-weight, ids, keys))
+            keys, ids, weight = keys[order], ids[order], weight[order]
+            once = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+            keys, ids, _, leaders, count, _ = _stars(keys[once], ids[once], weight[once])
+            # A key's leader is a row of its own, if there are others.
+            others = (count > 1) | np.isin(keys, stands)
             if others.any():
                 yield out(keys[others], ids[others], leaders[others])
 
         for batch in batches:
-            for bucket, keys, ids, leaders, stands in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for bucket, keys, ids, leaders, weights in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 keys, ids = np.frombuffer(keys, _U), np.frombuffer(ids, np.int64)
                 if leaders is not None:
                     yield out(keys, ids, np.frombuffer(leaders, np.int64))
@@ -198,11 +210,11 @@ def fragment_members(docs: DataFrame, k: int, num: int, den: int, *, text_col: s
                     yield from done()
                     held = []
                 now = bucket
-                held.append((keys, ids, np.frombuffer(stands, np.int8)))
+                held.append((keys, ids, np.frombuffer(weights, np.int32)))
         if held:
             yield from done()
 
-    blobs = docs.select(text_col).mapInArrow(cut, "bucket int, keys binary, ids binary, leaders binary, stands binary")
+    blobs = docs.select(text_col).mapInArrow(cut, "bucket int, keys binary, ids binary, leaders binary, weights binary")
     return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "key long, id long, leader long")
 
 
