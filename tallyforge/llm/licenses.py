@@ -1,8 +1,8 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case; runs of letters and digits, joined by blanks) and looked up among known
-licence sentences. A known sentence is a template in which ``<...>`` stands for up to eight words, such as a year or a holder. The
-identifiers of a text, in order, are then matched against ordered licence rules: a rule names the identifiers that must
+Known licence sentences are looked for as sequences of words (runs of letters and digits, in any case) that begin and end where a sentence
+or a line does; line breaks, comment marks and punctuation between their words do not count, so wrapped texts and comments have them too. A known
+sentence is a template in which ``<...>`` stands for up to eight words, such as a year or a holder. The identifiers of a text, in order, are then matched against ordered licence rules: a rule names the identifiers that must
 follow each other, with at most ``slack`` sentences that are not known between them. Rules are tried in their order at each place, and
 the first that holds takes its identifiers; known sentences that no rule takes are reported as ``unmatched``.
 """
@@ -10,6 +10,7 @@ the first that holds takes its identifiers; known sentences that no rule takes a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 #: Identifiers and sentences of public licences and notices.
 SENTENCES = (
     ("APACHE2_NOTICE", "Licensed under the Apache License, Version 2.0"),
+    ("APACHE2_NOTICE", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
     ("APACHE2_YOU_MAY", "you may not use this file except in compliance with the License"),
     ("APACHE2_OBTAIN", "You may obtain a copy of the License at"),
     ("APACHE2_AS_IS", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
@@ -72,9 +74,16 @@ RULES = (
     ("All-rights-reserved", ("RESERVED",)),
 )
 
-#: A sentence ends at a line break, at ; ! ? : and at a full stop before white space or the end.
-_END = re.compile(r"[\n\r;!?:]+|\.(?=\s|$)")
+#: A sentence ends at a blank line (comment marks alone leave a line blank), at ; ! ? : and at a full stop before white space or the end.
+_END = re.compile(r"[;!?:]+|\.(?=\s|$)|(?>\r\n?|\n)(?:[^\w\r\n]|_)*(?:\r\n?|\n)")
+#: A known sentence begins after, and ends before, one of these, so also at a single line break; within it they are white space.
+_EDGE = re.compile(r"[\n\r;!?:]+|\.(?=\s)")
 _WORD = re.compile(r"[^\W_]+")
+_BEGIN = re.compile(rf"(?:\A|{_EDGE.pattern})[\W_]*([^\W_]+)")
+#: Comment marks that are words, at the beginning of a line, and what lies between two words.
+_MARKS = ("rem", "dnl", "c")
+_GAP = rf"(?:[\W_]*[\r\n][ \t]*(?:{'|'.join(_MARKS)})[ \t][\W_]*|(?>[\W_]+))"
+_STOP = r"(?![^\W_])(?=[\W_]*?([\n\r;!?:]|\.(?=\s|\Z)|\Z))"
 SCHEMA = "id long, license string, first_sentence int, last_sentence int, sentence_ids array<string>, start int, stop int"
 
 
@@ -83,55 +92,60 @@ def normalise(sentence: str) -> str:
 
 
 class Sentences:
-    """Known sentences by their normal form. A sentence may hold several known ones, after each other, as normalising loses no words."""
+    """Known sentences as sequences of words, by their first word. What stands between the words of one does not count."""
 
     def __init__(self, known: tuple[tuple[str, str], ...] = SENTENCES):
-        self.exact: dict[str, str] = {}
-        self.open: list[tuple[str, str, re.Pattern]] = []
-        self.parts: dict[str, list[tuple[str, ...]]] = {}
+        self.by_first: dict[str, list[tuple[str, re.Pattern]]] = {}
+        hole = "holeinatemplate"
         for name, text in known:
-            if "<" not in text:
-                # The cutter may divide a known sentence as well; all of its parts, in order, tell it.
-                parts = [p for p in map(normalise, _END.split(text)) if p]
-                if len(parts) == 1:
-                    self.exact[parts[0]] = name
-                else:
-                    self.parts.setdefault(parts[0], []).append((name, *parts))
-            else:
-                hole = "holeinatemplate"
-                words = normalise(re.sub(r"<[a-z]+>", hole, text)).split(" ")
-                shape = " ".join(r"\w+(?: \w+){0,7}" if w == hole else re.escape(w) for w in words)
-                begin = " ".join(words[: words.index(hole)])
-                self.open.append((name, begin, re.compile(shape)))
+            words = normalise(re.sub(r"<[a-z]+>", hole, text)).split(" ")
+            shape = _GAP.join(rf"[^\W_]+(?:{_GAP}[^\W_]+){{0,7}}?" if w == hole else re.escape(w) for w in words)
+            self.by_first.setdefault("" if words[0] == hole else words[0], []).append((name, re.compile(shape + _STOP, re.I)))
+
+    def find(self, text: str) -> Iterator[tuple[str, int, int, int, int]]:
+        """Identifier, begin (after the edge before it), first word's place, last word's end, and stop (before the edge after it) of the longest known sentence at each place; they do not overlap."""
+        over = 0
+        for m in _BEGIN.finditer(text):
+            for at in _begins(text, m):
+                near = (*self.by_first.get(_WORD.match(text, at)[0].lower(), ()), *self.by_first.get("", ()))
+                best = max(((hit.end(), -k) for k, (_, shape) in enumerate(near) if at >= over and (hit := shape.match(text, at))), default=None)
+                if best:
+                    name, shape = near[-best[1]]
+                    begin = max((e.end() for e in _EDGE.finditer(text, m.start(), at)), default=0)
+                    over = best[0]
+                    yield name, begin, at, over, shape.match(text, at).start(1)
+                    break
 
     def identify(self, normal: list[str]) -> list[str | None]:
         """The identifier of each sentence, or None; one that was cut into parts has it at its last part."""
         out: list[str | None] = [None] * len(normal)
-        for k, s in enumerate(normal):
-            out[k] = out[k] or self.exact.get(s)
-            for name, *parts in self.parts.get(s, ()):
-                if normal[k : k + len(parts)] == parts:
-                    out[k + len(parts) - 1] = name
-            if out[k] is None:
-                for name, begin, shape in self.open:
-                    if s.startswith(begin) and shape.fullmatch(s):
-                        out[k] = name
+        text = "\n".join(normal)
+        for name, _, _, over, _ in self.find(text):
+            out[text.count("\n", 0, over)] = name
         return out
 
 
+def _begins(text: str, m: re.Match) -> Iterator[int]:
+    """Where a known sentence may begin: at the first word after an edge, or behind it if it is a comment or list mark."""
+    yield m.start(1)
+    mark = m[1].lower() in _MARKS or (len(m[1]) <= 4 and text[m.end() : m.end() + 1] in (")", "]", "."))
+    if mark and (after := _WORD.search(text, m.end())):
+        yield after.start()
+
+
 def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Places of the sentences, without empty ones."""
+    """Places of the sentences, without those that have no words."""
     at = 0
     for m in _END.finditer(text):
-        if text[at : m.start()].strip():
+        if _WORD.search(text, at, m.start()):
             yield at, m.start()
         at = m.end()
-    if text[at:].strip():
+    if _WORD.search(text, at):
         yield at, len(text)
 
 
 def match_rules(found: list[tuple[int, str]], rules: tuple[tuple[str, tuple[str, ...]], ...], slack: int) -> Iterator[tuple[str, int, int]]:
-    """``found``: sentence numbers and identifiers in order. Gives licence, first and last place in ``found``."""
+    """``found``: places, counted in sentences, and identifiers in order. Gives licence, first and last place in ``found``."""
     k = 0
     while k < len(found):
         for license, names in rules:
@@ -163,12 +177,18 @@ def scan_licenses(docs: DataFrame, *, known: tuple[tuple[str, str], ...] = SENTE
                 text = text.as_py()
                 if not text or not hint.search(text):
                     continue
-                places = list(sentences(text))
-                names = lookup.identify([normalise(text[a:b]) for a, b in places])
-                found = [(k, name) for k, name in enumerate(names) if name]
+                hits = list(lookup.find(text))
+                if not hits:
+                    continue
+                starts = [a for a, _ in sentences(text)]
+                number = [(bisect_right(starts, first) - 1, bisect_right(starts, over - 1) - 1) for _, _, first, over, _ in hits]
+                found, at = [], 0
+                for k, hit in enumerate(hits):
+                    # Only sentences without known ones count between two.
+                    at += 1 + max(0, number[k][0] - number[k - 1][1] - 1) if k else 0
+                    found.append((at, hit[0]))
                 for license, first, last in match_rules(found, rules, slack):
-                    a, b = found[first][0], found[last][0]
-                    out.append((doc.as_py(), license, a, b, [x[1] for x in found[first : last + 1]], places[a][0], places[b][1]))
+                    out.append((doc.as_py(), license, number[first][0], number[last][1], [x[1] for x in found[first : last + 1]], hits[first][1], hits[last][4]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 7, _TYPES)], _NAMES)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, SCHEMA).withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 from llm.conftest import EDGES, prose
@@ -61,3 +62,30 @@ def test_against_plain_lookup(messy, seed):
 def test_templates():
     known = Sentences((("X", "Copyright <year> by <holder>"),))
     assert known.identify([normalise("Copyright 2020 by The Example Project"), "copyright by"]) == ["X", None]
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "dnl ", ";; "])
+def test_wrapped_texts_of_every_rule(messy, mark):
+    """Hard-wrapped sentences, as in licence files and comments, give the licence as unwrapped ones do."""
+    texts = []
+    for _, names in RULES:
+        whole = ". ".join(TEXTS[n].replace("<holder>", "the Example Foundation") for n in names) + "."
+        texts.append("\n".join(f"{mark}{line}" for line in textwrap.wrap(whole, 40)) + "\n\n" + prose(random.Random(1), 20))
+    got = sorted((r.doc_id, r.license, len(r.sentence_ids)) for r in scan_licenses(messy(texts)).collect())
+    assert got == [(k, license, len(names)) for k, (license, names) in enumerate(RULES)]
+
+
+def test_real_headers(messy):
+    apache = APACHE + """.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language."""
+    commented = "/*\n" + "\n".join(f" * {line}".rstrip() for line in apache.split("\n")) + "\n */\nint x;"
+    lists = "1) " + TEXTS["BSD_SOURCE"] + ".\nReleased under the MIT License\nby someone"
+    got = [(r.doc_id, r.license, len(r.sentence_ids)) for r in sorted(scan_licenses(messy([APACHE, apache, commented, lists])).collect(), key=lambda r: (r.doc_id, r.start))]
+    assert got == [(0, "Apache-2.0", 1), (0, "unmatched", 1), (1, "Apache-2.0", 4), (2, "Apache-2.0", 4), (3, "unmatched", 1), (3, "MIT", 1)]
