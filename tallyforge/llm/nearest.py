@@ -35,7 +35,7 @@ def usable(vector: Column) -> Column:
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     """``vector, ids``: the ``most`` smallest ids of each distinct vector, ascending. Tasks keep that many per vector before the shuffle."""
-    ranked = rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY vector ORDER BY id)")).where(F.col("rank") <= most)
+    ranked = rows.select("vector", "id").distinct().withColumn("rank", F.expr("row_number() OVER (PARTITION BY vector ORDER BY id)")).where(F.col("rank") <= most)
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 

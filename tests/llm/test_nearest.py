@@ -56,6 +56,12 @@ def test_ties_and_repeats(spark):
     assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 100) == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_rows_repeated_more_than_k_times(spark):
+    rows = [(3, [1.0, 2.0])] * 9 + [(k, [1.0, 2.0]) for k in (10, 11, 12)] + [(5, [2.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in search(table(spark, rows), F.col("vec_id").isin(3, 5), k=3).collect())
+    assert got == [(3, 1, 10), (3, 2, 11), (3, 3, 12), (5, 1, 3), (5, 2, 10), (5, 3, 11)]
+
+
 def test_index():
     rnd = np.random.default_rng(1)
     sample = unit(rnd.normal(size=(4000, 16)).astype(np.float32))
