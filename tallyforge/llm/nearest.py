@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.posting_lists import PostingIndex, fit_index, unit
 from tallyforge.llm.shared import stored
 
-#: The bound of the sample that the index is fitted on; vectors per list aimed at; the most lists; postings per block.
-MOST_SAMPLED, LIST_SIZE, MOST_LISTS, BLOCK = 20_000, 200, 4096, 4096
+#: The bound of the sample that the index is fitted on; vectors per list aimed at; the most lists; postings per block; pairs scored at a time.
+MOST_SAMPLED, LIST_SIZE, MOST_LISTS, BLOCK, PAIRS = 20_000, 200, 4096, 4096, 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -91,18 +91,24 @@ def search(table: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec
         if posted.num_rows and asking.num_rows:
             v = _matrix(posted.column("vector").combine_chunks()).astype(np.float64)
             ids, entry = posted.column("ids").to_pylist(), posted.column("entry").to_pylist()
-            length = np.sqrt((v * v).sum(axis=1))
+            length, smallest = np.sqrt((v * v).sum(axis=1)), np.array([x[0] for x in ids])
             for a in range(0, asking.num_rows, 256):
                 part = asking.slice(a, 256)
                 q = _matrix(part.column("vector").combine_chunks()).astype(np.float64)
                 near = (q @ v.T) / length
-                # More than needed by the fast product; the exact measure then decides.
-                wide = min(len(v), k + 1 + 8)
-                top = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-                exact = (q[:, None, :] * v[top]).sum(axis=2) / (np.sqrt((q * q).sum(axis=1))[:, None] * length[top])
-                order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-                for i, query in enumerate(part.column("query").to_pylist()):
-                    out += [(query, entry[top[i, j]], ids[top[i, j]], exact[i, j]) for j in order[i]]
+                asker = np.sqrt((q * q).sum(axis=1))
+                # All that the fast product's rounding leaves open; the exact measure, then the smallest id, decides.
+                wide = min(len(v), k + 1)
+                last = np.partition(near, len(v) - wide, axis=1)[:, len(v) - wide]
+                one, other = np.nonzero(near >= (last - 4 * (v.shape[1] + 8) * np.finfo(np.float64).eps * asker)[:, None])
+                exact = np.empty(len(one))
+                for b in range(0, len(one), PAIRS):
+                    i, j = one[b : b + PAIRS], other[b : b + PAIRS]
+                    exact[b : b + PAIRS] = (q[i] * v[j]).sum(axis=1) / (asker[i] * length[j])
+                order = np.lexsort((smallest[other], -exact, one))
+                at = np.arange(len(order)) - np.searchsorted(one, one)
+                query = part.column("query").to_pylist()
+                out += [(query[one[p]], entry[other[p]], ids[other[p]], exact[p]) for p in order[at <= k]]
         cols = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()))], ["query", "entry", "ids", "score"])
 

@@ -62,6 +62,13 @@ def test_rows_repeated_more_than_k_times(spark):
     assert got == [(3, 1, 10), (3, 2, 11), (3, 3, 12), (5, 1, 3), (5, 2, 10), (5, 3, 11)]
 
 
+def test_many_vectors_of_equal_cosine(spark):
+    """Scaled copies are distinct vectors of one cosine; of more than fit, the smallest ids count, wherever they stand."""
+    rows = [(1000 - k, [2.0**k, 2.0 ** (k + 1), 2.0 ** (k + 2)]) for k in range(40)] + [(k, [1.0, 0.1 * k, 0.3]) for k in range(20)]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in search(table(spark, rows), F.col("vec_id").isin(1000, 961), k=5).collect())
+    assert got == [(961, r, 961 + r) for r in range(1, 6)] + [(1000, r, 960 + r) for r in range(1, 6)]
+
+
 def test_index():
     rnd = np.random.default_rng(1)
     sample = unit(rnd.normal(size=(4000, 16)).astype(np.float32))
