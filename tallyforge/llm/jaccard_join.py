@@ -331,14 +331,8 @@ def node_table(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(nodes, "id long, node long, n_shingles long").withColumnRenamed("id", id_col)
 
 
-def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col, n_shingles, component_id``: the smallest id reachable by links of Jaccard similarity >= num / den.
-
-    N-grams are ``k`` words (runs without blank and 9-13; A-Z as a-z); a shorter text is one n-gram as a whole, a text without words has none and
-    is linked with nothing. Null text counts as empty. Repeated rows and ids are rows of their own. Null ids are
-    linked like others, but never a component's smallest id, unless it has no other. An empty table gives an empty result.
-    N-grams and sets are told apart by 64-bit hashes.
-    """
+def node_labels(docs: DataFrame, k: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
+    """``node, label``: the component of every node that has a link."""
     members = stored(fragment_members(docs, k, num, den, text_col=text_col), "members")
     # Each node is compared first with the one it shares most fragments with; a window holds what one node shares.
     met = members.where("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
@@ -353,6 +347,30 @@ def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     found = stored(links(more.join(known, ["a", "b"], "left_anti"), sets, num, den), "links")
     if not found.isEmpty():
         labels = stored(connected_components(linked.unionByName(found)), "labels")
+    return labels
+
+
+def keyed_nodes(rows: DataFrame, k: int) -> DataFrame:
+    """``id, key, node, n_shingles`` per row of ``id, key, text``."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, rows, grams in _sets(batch.column(2), k):
+                ids, sizes = node_ids(rows, grams, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(ids), pa.array(sizes, pa.int64())], ["id", "key", "node", "n_shingles"])
+
+    return rows.select("id", "key", "text").mapInArrow(nodes, "id long, key long, node long, n_shingles long")
+
+
+def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col, n_shingles, component_id``: the smallest id reachable by links of Jaccard similarity >= num / den.
+
+    N-grams are ``k`` words (runs without blank and 9-13; A-Z as a-z); a shorter text is one n-gram as a whole, a text without words has none and
+    is linked with nothing. Null text counts as empty. Repeated rows and ids are rows of their own. Null ids are
+    linked like others, but never a component's smallest id, unless it has no other. An empty table gives an empty result.
+    N-grams and sets are told apart by 64-bit hashes.
+    """
+    labels = node_labels(docs, k, num, den, text_col=text_col)
     table = stored(node_table(docs, k, id_col=id_col, text_col=text_col), "nodes")
     full = table.where("n_shingles > 0").join(labels, "node", "left").select(id_col, "n_shingles", F.coalesce("label", "node").alias("label"))
     # Written first, so that the join's two sides are plain and a component of very many rows can be split.
@@ -361,19 +379,34 @@ def near_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 10
     return full.join(least, "label").select(id_col, "n_shingles", "component_id").unionByName(empty)
 
 
+def _without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows of these ids and keys."""
+    named = rows.toDF("_id", "_key")
+    return docs.join(named, (docs[id_col] == named["_id"]) & (F.xxhash64(docs[text_col]) == named["_key"]), "left_anti")
+
+
 def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; all columns as they were.
+    """``docs`` with one row of each component, one of the smallest id; all columns as they were.
 
-    Rows without words, and rows without id, are compared with nothing and stay. Of rows that repeat the chosen id within their component
-    one stays.
+    Rows are told by id and text, so rows of one id in different components are judged each on its own. Rows without words, and rows without
+    id, are compared with nothing and stay. Of rows that repeat the chosen id within their component one stays. Texts are told apart by 64-bit hashes.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    table = near_components(named, k=k, num=num, den=den, id_col=id_col, text_col=text_col).where("n_shingles > 0")
-    dropped = stored(table.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct(), "dropped")
-    chosen = table.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
-    repeated = stored(chosen, "repeated")
-    rest = docs.join(dropped, docs[id_col] == dropped["_id"], "left_anti")
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, rest[id_col] == repeated["_id"], "left_semi").dropDuplicates([id_col])
-    return rest.join(repeated, rest[id_col] == repeated["_id"], "left_anti").unionByName(once)
+    labels = node_labels(named, k, num, den, text_col=text_col)
+    keyed = named.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    table = stored(keyed_nodes(keyed, k).where("n_shingles > 0").join(labels, "node", "left").select("id", "key", F.coalesce("label", "node").alias("label")), "nodes")
+    least = stored(table.groupBy("label").agg(F.min("id").alias("least")), "least")
+    judged = table.join(least, "label")
+    chosen = judged.where("id = least")
+    # Components whose smallest id has several rows; that with the smallest key stays.
+    several = stored(chosen.groupBy("label").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").select("label", "first"), "repeated")
+    dropped = judged.where("id <> least").select("id", "key")
+    if several.isEmpty():
+        return _without(docs, stored(dropped.distinct(), "dropped"), id_col, text_col)
+    again = chosen.join(several, "label")
+    dropped = stored(dropped.unionByName(again.where("key <> first").select("id", "key")).distinct(), "dropped")
+    repeated = stored(again.where("key = first").select("id", "key").distinct(), "kept")
+    rest = _without(docs, dropped, id_col, text_col)
+    named = repeated.toDF("_id", "_key")
+    once = rest.join(named, (rest[id_col] == named["_id"]) & (F.xxhash64(rest[text_col]) == named["_key"]), "left_semi").dropDuplicates([id_col, text_col])
+    return _without(rest, repeated, id_col, text_col).unionByName(once)

@@ -78,6 +78,14 @@ def test_one_of_each(messy):
     assert one_of_each(twice).count() == 1
 
 
+def test_one_id_on_unrelated_texts(messy):
+    a, b, c, d, e = (prose(random.Random(k), 60) for k in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (5, c), (5, d), (6, e), (6, e + " more"), (6, e), (7, e)]
+    kept = sorted((r.doc_id, r.text) for r in one_of_each(messy([t for _, t in rows], [i for i, _ in rows])).collect())
+    assert [x for x in kept if x[0] != 6] == sorted([(1, a), (2, b), (5, c), (5, d)])
+    assert len(kept) == 5 and kept[-1] in ((6, e), (6, e + " more"))
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 330)] + [(5, 5), (None, 3)]
