@@ -5,7 +5,7 @@ system that Spark writes. The text writer needs a separator after each row; an e
 
 The salvage reader checks each member or record (gzip CRC, version line, header, length, block end, payload digest). After a
 failed check it searches for the next place where a valid member or version line begins, goes on there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. What a member with a failed check holds of sound records is kept.
 """
 
 from __future__ import annotations
@@ -113,27 +113,55 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(unpacker.unused_data)
 
 
-def _record(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
+def _readable(data: memoryview, at: int) -> bytes:
+    """What can be unpacked of the damaged member at ``at``, to the byte before which it fails."""
+    unpacker, out, pos, step = zlib.decompressobj(31), [], at, _STEP
+    while pos < len(data) and not unpacker.eof:
+        before = unpacker.copy() if step > 1 else None
+        try:
+            out.append(unpacker.decompress(data[pos : pos + step]))
+            pos += step
+        except zlib.error:
+            if before is None:
+                break
+            unpacker, step = before, 1
+    return b"".join(out)
+
+
+def _inside(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The sound records of a member's content, and the first failed check; after one, the search goes on at the next version line."""
+    sound, why, place = [], None, 0
+    while 0 <= place < len(inner):
+        try:
+            headers, block, place = _record(inner, place)
+            sound.append((headers, block))
+        except Damaged as e:
+            why = why or str(e)
+            place = inner.find(_VERSION, place + 1)
+    return sound, why
+
+
+def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the uncompressed record at ``at``; raises ``Damaged``."""
-    head = bytes(data[at : at + _STEP])
-    if not _VERSION_LINE.match(head):
+    version = _VERSION_LINE.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    over = head.find(b"\r\n\r\n")
-    if over < 0:
-        raise Damaged("header without end")
-    headers = {}
-    for line in head[:over].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    headers, pos = {}, version.end()
+    while (over := data.find(b"\r\n", pos)) != pos:  # line by line, so that a header of any length is read, and a false one is left early
+        if over < 0:
+            raise Damaged("header without end")
+        name, colon, value = data[pos:over].partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        pos = over + 2
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
-    first = at + over + 4
+    first = pos + 2
     last = first + int(headers["content-length"])
-    if bytes(data[last : last + 4]) != b"\r\n\r\n":
+    if data[last : last + 4] != b"\r\n\r\n":
         raise Damaged("block without end")
-    block = bytes(data[first:last])
+    block = data[first:last]
     wanted = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and wanted.startswith("sha256:") and hashlib.sha256(payload_of(block)).hexdigest() != wanted[7:].lower():
         raise Damaged("payload digest differs")
@@ -146,29 +174,46 @@ def payload_of(block: bytes) -> bytes:
 
 
 def read_archive(content: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records, and gaps as (start, stop, reason), in the order of the file; no byte is in both."""
+    """Records, and gaps as (start, stop, reason), in the order of the file; no byte is in both.
+
+    The bytes of a member with a failed check are a gap's; the sound records in it are given all the same, with an empty place at its start.
+    """
     data, at, gap, why, end = memoryview(content), 0, None, "", len(content)
+    saved: list[tuple[dict[str, str], bytes]] = []
     while at < end:
         found: list[Record] = []
+        sound, stop = [], None
         try:
-            if bytes(data[at : at + 3]) == _MAGIC:
-                inner, stop = _member(data, at)
-                place = 0
-                while place < len(inner):  # a member may hold several records
-                    headers, block, place = _record(inner, place)
-                    found.append(Record(at, stop, headers, block))
+            if content[at : at + 3] == _MAGIC:
+                try:
+                    inner, stop = _member(data, at)
+                except Damaged:
+                    sound = _inside(_readable(data, at))[0]
+                    raise
+                sound, bad = _inside(inner)  # a member may hold several records
+                if bad is not None:
+                    raise Damaged(bad)
+                found += [Record(at, stop, *x) for x in sound]
             else:
-                headers, block, stop = _record(data, at)
+                headers, block, stop = _record(content, at)
+                if (headers, block) in saved:  # stored as it is in a damaged member that has been read
+                    at = stop
+                    continue
                 found.append(Record(at, stop, headers, block))
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
+            saved += sound
+            yield from (Record(at, at, *x) for x in sound)
+            if stop is not None and sound:
+                at = stop
+                continue
             places = [p for p in (content.find(_MAGIC, at + 1), content.find(_VERSION, at + 1)) if p >= 0]
             at = min(places, default=end)
             continue
         if gap is not None:
             yield gap, at, why
-            gap = None
+            gap, saved = None, []
         yield from found
         at = stop
     if gap is not None:

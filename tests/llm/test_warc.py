@@ -49,6 +49,34 @@ def test_damage_costs_only_what_it_hits(pack):
             assert covered == len(data)
 
 
+@pytest.mark.parametrize("pack", [gzip_member, lambda x: x])
+def test_long_header(pack):
+    url = "data:text/html," + "%41" * 40_000
+    data = pack(make_record(1, url, b"x", hashlib.sha256(b"x").hexdigest(), None, "2024-01-01T00:00:00Z")) + pack(record(2))
+    names, gaps = ids(read_archive(data))
+    assert names == ["<urn:page:1>", "<urn:page:2>"] and gaps == []
+    assert next(iter(read_archive(data))).headers["warc-target-uri"] == url
+
+
+def test_damaged_record_in_a_member_of_several():
+    rnd = random.Random(3)
+    parts = [record(k, bytes(rnd.choices(b"abcdefgh", k=2000))) for k in range(6)]
+    bad = [*parts[:2], parts[2][:-50] + b"y" * 46 + b"\r\n\r\n", *parts[3:]]
+    data = gzip_member(b"".join(bad)) + gzip_member(record(9))
+    names, gaps = ids(read_archive(data))
+    assert names == [f"<urn:page:{k}>" for k in (0, 1, 3, 4, 5, 9)]
+    assert [g[2] for g in gaps] == ["payload digest differs"] and gaps[0][:2] == (0, len(data) - len(gzip_member(record(9))))
+    # A member cut short keeps what is before the cut, and the member after it.
+    whole = gzip_member(b"".join(parts))
+    names, gaps = ids(read_archive(whole[: len(whole) * 2 // 3] + gzip_member(record(9))))
+    assert names[:3] == [f"<urn:page:{k}>" for k in range(3)] and names[-1] == "<urn:page:9>" and len(gaps) == 1
+
+
+def test_long_url_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "data:," + "a" * 100_000, "x"), (2, "u", "y")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in round_trip(pages, f"file://{tmp_path}/long").collect()) == [1, 2]
+
+
 def test_noise_is_one_gap():
     data = bytes(random.Random(2).randrange(256) for _ in range(3000))
     assert [(x[0], x[1]) for x in read_archive(data)] == [(0, 3000)]
