@@ -5,8 +5,9 @@ substituted word at an ignored position does not break it. Seeds of all word pos
 size; training positions that pass it are joined with the test seeds, and around each hit the words at equal places are compared.
 
 A document and an item match if some seed of theirs agrees and, of some ``WINDOW`` words around it (an overhang at either end counts as
-disagreeing), at least the share ``agreeing`` agrees; for a shorter item the share of its own length is asked. Items, and
-documents, of fewer words than the shortest mask are told from chance by nothing and match nothing.
+disagreeing), at least the share ``agreeing`` agrees; for a shorter item the share of its own length is asked. An item of fewer words
+than the shortest mask has one exact seed, its whole word sequence, and matches where a document holds it word for word; one
+of fewer than ``FEW`` words only matches documents that are nothing else. Letters of scripts without blanks are words of their own.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ WINDOW = 20
 #: The Bloom filter is an array of so many 64-bit numbers (512 KB), whatever the size of the benchmark.
 BLOOM_LONGS = 1 << 16
 _SPAN = min(map(len, MASKS))
+#: Items of fewer words occur by chance in many texts.
+FEW = 3
+#: Scripts that put no blanks between words. The range, which holds them all, is tested first: scripts are slow to tell.
+_UNSPACED = r"[\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]]"
 _BEFORE = WINDOW - _SPAN
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"({_UNSPACED})", " $1 ")
+    words = F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -34,6 +40,12 @@ def _seed(h: Column, i: Column, mask: int) -> Column:
     return F.when(i + len(MASKS[mask]) <= F.size(h), F.xxhash64(F.lit(mask), *[F.get(h, i + k) for k in places]))
 
 
+def _whole_seed(h: Column, i: Column, n: int) -> Column:
+    """The exact seed of the ``n`` words from ``i``; null where they overhang the end, and, of fewer than ``FEW``, where ``h`` has others."""
+    fits = i + n <= F.size(h) if n >= FEW else F.size(h) == n
+    return F.when(fits, F.xxhash64(F.lit(len(MASKS) + n), *[F.get(h, i + k) for k in range(n)]))
+
+
 def _bits(seed: Column) -> list[Column]:
     """Two places in the filter, whose length is a power of two."""
     return [seed.bitwiseAND(F.lit(BLOOM_LONGS * 64 - 1)), F.shiftright(seed, 27).bitwiseAND(F.lit(BLOOM_LONGS * 64 - 1))]
@@ -44,18 +56,26 @@ def _around(h: Column, i: Column) -> Column:
     return F.transform(F.sequence(i - _BEFORE, i + WINDOW - 1), lambda p: F.get(h, p))
 
 
-def _seeded(h: Column, chosen) -> Column:
+def _seeds(h: Column, i: Column, lengths: list[int]) -> list[Column]:
+    return [*[_seed(h, i, m) for m in range(len(MASKS))], *[_whole_seed(h, i, n) for n in lengths]]
+
+
+def _seeded(h: Column, chosen, lengths: list[int]) -> Column:
     """Array of (place, seeds, around) at the places that ``chosen(h, i)`` picks. ``h`` is bound once, not computed again per place."""
-    at = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - _SPAN), lambda i: chosen(h, i)) if chosen else F.sequence(F.lit(0), F.size(h) - _SPAN)
-    one = lambda h: F.transform(at(h), lambda i: F.struct(i.alias("place"), F.array(*[_seed(h, i, m) for m in range(len(MASKS))]).alias("seeds"), _around(h, i).alias("around")))
-    return F.explode(F.transform(F.array(h), lambda h: F.when(F.size(h) >= _SPAN, one(h)))[0])
+    least = min([_SPAN, *lengths])
+    at = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - least), lambda i: chosen(h, i)) if chosen else F.sequence(F.lit(0), F.size(h) - least)
+    one = lambda h: F.transform(at(h), lambda i: F.struct(i.alias("place"), F.array(*_seeds(h, i, lengths)).alias("seeds"), _around(h, i).alias("around")))
+    return F.explode(F.transform(F.array(h), lambda h: F.when(F.size(h) >= least, one(h)))[0])
 
 
 def item_seeds(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``seed, item, item_words, item_around`` for every word position of every item."""
+    """``seed, item, item_words, item_around`` for every word position of every item, and once for an item of fewer words than a mask."""
     rows = items.select(F.col(id_col).alias("item"), word_hashes(F.col(text_col)).alias("h"))
-    placed = rows.select("item", F.size("h").alias("item_words"), _seeded(F.col("h"), None).alias("s"))
-    return placed.select(F.explode("s.seeds").alias("seed"), "item", "item_words", F.col("s.around").alias("item_around")).where("seed IS NOT NULL").distinct()
+    placed = rows.select("item", F.size("h").alias("item_words"), _seeded(F.col("h"), None, []).alias("s"))
+    long = placed.select(F.explode("s.seeds").alias("seed"), "item", "item_words", F.col("s.around").alias("item_around")).where("seed IS NOT NULL")
+    whole = F.coalesce(*[F.when(F.size("h") == n, _whole_seed(F.col("h"), F.lit(0), n)) for n in range(1, _SPAN)])
+    short = rows.select(whole.alias("seed"), "item", F.size("h").alias("item_words"), _around(F.col("h"), F.lit(0)).alias("item_around")).where("seed IS NOT NULL")
+    return long.unionByName(short).distinct()
 
 
 def bloom_filter(seeds: DataFrame) -> DataFrame:
@@ -75,6 +95,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, agreeing: float = 0.8, i
     tests = item_seeds(items, id_col=item_id_col, text_col=item_text_col)
     # Fixed in size; as text it becomes a literal of the plan, which the optimizer folds to an array once.
     numbers = bloom_filter(tests).select(F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bloom")).first()["bloom"]
+    # At most as many as a mask has places; other lengths need no seeds.
+    lengths = sorted(r["item_words"] for r in tests.where(F.col("item_words") < _SPAN).select("item_words").distinct().collect())
     bloom = F.split(F.lit(numbers), ",").cast("array<bigint>")
     set_at = lambda bit: F.getbit(F.get(bloom, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
@@ -84,9 +106,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, agreeing: float = 0.8, i
 
     def chosen(h: Column, i: Column) -> Column:
         """Each seed is bound before it is tested, so that it is computed once; the test of a null seed is null, which chooses nothing."""
-        return F.coalesce(F.exists(F.array(*[_seed(h, i, m) for m in range(len(MASKS))]), passes), F.lit(False))
+        return F.coalesce(F.exists(F.array(*_seeds(h, i, lengths)), passes), F.lit(False))
 
-    rows = docs.select(F.col(id_col).alias("id"), _seeded(word_hashes(F.col(text_col)), chosen).alias("s"))
+    rows = docs.select(F.col(id_col).alias("id"), _seeded(word_hashes(F.col(text_col)), chosen, lengths).alias("s"))
     hits = rows.select("id", F.col("s.place").alias("place"), F.explode("s.seeds").alias("seed"), F.col("s.around").alias("around")).where("seed IS NOT NULL").join(tests, "seed")
     agree = F.zip_with("around", "item_around", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     sums = F.transform(F.array(agree), lambda g: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(_BEFORE)), lambda t: F.aggregate(F.slice(g, t + 1, WINDOW), F.lit(0), lambda x, y: x + y))))[0]

@@ -71,6 +71,15 @@ def test_passages_with_substitutions_are_found(spark, messy):
     assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]
 
 
+def test_short_items_and_scripts_without_blanks(spark, messy):
+    items = [(1, "What is seven times six?"), (2, "Yes, indeed"), (3, "床前明月光，疑是地上霜。举头望明月，低头思故乡。"), (4, "which of these ten words is not one of them")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    docs = ["So WHAT is seven\ntimes six, then", "what is seven times six", "yes indeed", "well yes indeed", "他说床前明月光，疑是地上霜。举头望明月，低头思故乡。好", "what is six times seven", "x " * 30 + items[3][1], "明月"]
+    got = sorted((r.doc_id, r.item_id, r.agreeing_words, r.first_word) for r in find_overlaps(messy(docs), tests).collect())
+    assert got == [(0, 1, 5, 1), (1, 1, 5, 0), (2, 2, 2, 0), (4, 3, 20, 2), (6, 4, 10, 30)]
+    assert sorted(r.doc_id for r in without_overlaps(messy(docs), tests).collect()) == [3, 5, 7]
+
+
 def test_native_empty_and_repeated(spark, messy):
     tests = spark.createDataFrame([(1, prose(random.Random(1), 30))], "item_id long, text string")
     docs = messy([prose(random.Random(1), 30)] * 3, [None, 5, 5])
