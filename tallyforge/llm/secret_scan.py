@@ -26,6 +26,11 @@ class Rule:
     base: bool = True
 
 
+#: A private key after its first line: to its END line, with no other BEGIN or END before; without one, header and base64 lines, broken by line
+#: breaks, blanks, escapes or marks of quotes and comments. Possessive, so that Java needs no stack for long keys.
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_KEY_LINES = r"""(?:(?:[\s>#*|"',]|\\[nr]|//)*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]{1,15}+={0,2}(?=[ \t"',;+]*(?:[\r\n]|\\[nr]|$))))++"""
+
 #: Fixed values. The first three are the contract's: the second and third are written with their least length, which selects
 #: the same spans, as a shorter match holds no longer one.
 RULES = (
@@ -35,7 +40,7 @@ RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}", base=False),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", base=False),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:{_TO_END}|{_KEY_LINES})?", base=False),
 )
 
 SPAN = "struct<start:int,rank:int,stop:int,kind:string>"

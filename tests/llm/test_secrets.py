@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -50,6 +52,21 @@ def test_redaction(messy):
     assert without_secrets(docs.limit(0)).count() == 0
 
 
+def test_no_line_of_a_private_key_is_left(messy):
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(2000)] + ["Ab3dE/gh1J=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    keys = [
+        "\n".join([begin, *lines, end]), "\r\n".join([begin, *headers, *lines, end]), "\\n".join([begin, *lines[-9:], end]), "\n> ".join([begin, *lines[-9:], end]), " ".join([begin, *lines[-9:], end]),
+        "\n".join([begin, *lines]), "\n".join([begin, *headers, *lines[-9:]]), "\\n".join([begin, *lines[-9:]]) + "\\n",
+    ]
+    docs = [f"Here it is:\n{key}\nkeep it - well, safe." for key in keys] + [f"{begin} and no key follows here - at all"]
+    got = [r.text for r in sorted(without_secrets(messy(docs)).collect(), key=lambda r: r.doc_id)]
+    assert [re.sub(r"\\n", "", x) for x in got] == ["Here it is:\n[secret]\nkeep it - well, safe."] * len(keys) + ["[secret] and no key follows here - at all"]
+    assert not any(line in x for x in got for line in (*lines, end))
+
+
 def test_repeated_rows(messy):
     got = secret_digest(messy(["secret=abcdef"] * 3 + [None], [1, 1, None, None])).collect()
     assert sorted((str(r.doc_id), r.n_assign) for r in got) == [("1", 1), ("1", 1), ("None", 0), ("None", 1)]
