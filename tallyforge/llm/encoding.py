@@ -1,9 +1,10 @@
-"""Whole-text token ids from public tokenizer files, with bounded caches of encoded words.
+"""Whole-text token ids from public tokenizer files, with a bounded cache of encoded parts.
 
-The two pre-tokenizers recognised here always break between a character that is no white space and a blank after it, between a
-letter and what is no letter (but for an apostrophe before letters), and their normalizers never look across such a place. A
-text may therefore be cut there, and each distinct part be encoded once by the library. Texts for which that needs more care
-(special strings, white space beyond ASCII, other vocabularies) go to the library whole, so that the ids are its own for every text.
+The two pre-tokenizers recognised here always break before white space, and between a letter and what is no letter (but for an
+apostrophe before letters), and their normalizers never look across such a place. A text may therefore be cut there. The parts of a block of
+texts are told apart by 64-bit hashes and lengths; the library encodes together those that no earlier block had, and the texts' ids are gathered by
+index. Texts for which that needs more care (special strings, white space beyond ASCII, other vocabularies) go to the library
+whole, so that the ids are its own for every text.
 """
 
 from __future__ import annotations
@@ -12,22 +13,33 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-#: Entries in each generation of a cache, and the length of the longest text that is kept. A worker keeps four generations.
-KEPT, KEPT_LENGTH = 250_000, 100
+import numpy as np
+import pyarrow as pa
 
-# White space and letters, within Latin-1.
-_SPACE = "\t-\r "
-_LETTERS = "A-Za-z" + "".join(map(chr, (170, 181, 186))) + "{}-{}{}-{}{}-{}".format(*map(chr, (192, 214, 216, 246, 248, 255)))
-_ODD_LATIN = [*map(chr, (28, 29, 30, 31, 133, 160))]
-_ODD_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(28, 32), 133, 160, 5760, 6158, *range(8192, 8206), 8232, 8233, 8239, 8287, 12288, 65279])))
+from tallyforge.llm.textbytes import span_hashes, slices
+
+#: Parts that a worker keeps (those used longest ago go), the bytes of a block, and the parts that the library gets at a time.
+KEPT, BLOCK_BYTES, TOGETHER = 1 << 20, 1 << 21, 512
 
-_PARTS = re.compile(f"[{_SPACE}]*[{_LETTERS}]+|[{_SPACE}]*[^{_SPACE}{_LETTERS}]+(?:(?<=')[{_LETTERS}]+)?|[{_SPACE}]+")
-_WORDS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: What makes a run of white space end in a blank.
-_RUNS = [c + " " for c in " \n\t\r\x0b\x0c"]
+# What the library takes for white space beyond blank and 9-13, or may not cut at.
+_ODD_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(28, 32), 133, 160, 5760, 6158, *range(8192, 8206), 8232, 8233, 8239, 8287, 12288, 65279])))
+_ODD_ASCII = re.compile(bytes([91, *range(28, 32), 93]))
+
+#: Kinds of bytes: white space, letters, the apostrophe, other ASCII, and what is beyond ASCII.
+_BLANK, _LETTER, _QUOTE, _MARK, _BEYOND = range(5)
+_KIND = np.full(256, _BEYOND, np.uint8)
+_KIND[:128] = _MARK
+_KIND[[32, *range(9, 14)]] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[39] = _QUOTE
+#: Whether a part ends between two kinds.
+_CUT = np.zeros((5, 5), bool)
+_CUT[[_LETTER, _QUOTE, _MARK, _BEYOND], _BLANK] = True
+_CUT[_LETTER, [_QUOTE, _MARK]] = True
+_CUT[_MARK, _LETTER] = True
 
 
 @dataclass(frozen=True)
@@ -60,32 +72,46 @@ class TokenizerFile:
         return TokenizerFile(blob, kind, hashlib.sha256(label + blob).hexdigest())
 
 
-class _Kept(dict):
-    """A cache of two generations: what is used again outlives what is not."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(key) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.old = dict(self)
-                self.clear()
-            self[key] = got
-        return got
-
-
-def _latin(text: str) -> bool:
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-    return not any(c in text for c in _ODD_LATIN)
+class _Kept:
+    """The ids of parts by hash and length, in arrays."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, np.uint32)
+        self.turn = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each of ``keys`` is, or -1."""
+        self.turn += 1
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        found = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        at[~found] = -1
+        self.used[at[found]] = self.turn
+        return at
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """``keys`` that are not kept yet, with their ids."""
+        if len(self.keys) + len(keys) > KEPT and len(self.keys):
+            stay = self.used > np.median(self.used) if len(np.unique(self.used)) > 1 else np.zeros(len(self.used), bool)
+            self.pool = self.pool[spread(self.begin[stay], self.size[stay])]
+            self.keys, self.size, self.used = self.keys[stay], self.size[stay], self.used[stay]
+            self.begin = np.cumsum(self.size) - self.size
+        size = np.array([len(x) for x in ids], np.int64)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, *ids])
+        self.keys = np.concatenate([self.keys, keys])
+        by = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[by]
+        self.begin, self.size = np.concatenate([self.begin, begin])[by], np.concatenate([self.size, size])[by]
+        self.used = np.concatenate([self.used, np.full(len(keys), self.turn)])[by]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each span, one span after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 class ChunkEncoder:
@@ -95,7 +121,7 @@ class ChunkEncoder:
 
     def __init__(self, file: TokenizerFile):
         self.kind = file.kind
-        self.special: list[str] = []
+        self.special: list[bytes] = []
         if self.kind == "sentencepiece":
             import sentencepiece
 
@@ -106,9 +132,14 @@ class ChunkEncoder:
             self.library = tokenizers.Tokenizer.from_str(file.blob.decode())
             self.library.no_truncation()
             self.library.no_padding()
-            self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts = _Kept(self.whole)
-        self.words = _Kept(self._word)
+            self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.kept = _Kept()
+        # Ids that end a word, where the vocabulary marks them.
+        self.ends = np.zeros(0, bool)
+        if self.kind == "words":
+            vocabulary = self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, file: TokenizerFile) -> ChunkEncoder:
@@ -124,18 +155,74 @@ class ChunkEncoder:
             ids = self.library.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(" " + word if self.kind == "bytes" else word)))
+    def _together(self, parts: list[str]) -> list[np.ndarray]:
+        """The ids of each part, all encoded in one call."""
+        if len(self.ends) and all(map(str.isalpha, parts)):
+            # Each is one word, whose last id says that it ends.
+            ids = np.array(self.library.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(parts):
+                return np.split(ids, stop[:-1])
+        got = self.library.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        return np.split(np.array(got.ids, np.uint32), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(parts))))
+
+    def _encode(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each part by itself; words that are all letters go together."""
+        texts = [p.decode() for p in parts]
+        if len(self.ends):
+            texts = [t.strip() for t in texts]
+        letters = np.array([t.isascii() and t.isalpha() for t in texts], bool)
+        out: list[np.ndarray] = [None] * len(texts)
+        for some in (np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()):
+            for a in range(0, len(some), TOGETHER):
+                for k, ids in zip(some[a : a + TOGETHER], self._together([texts[k] for k in some[a : a + TOGETHER]])):
+                    out[k] = ids
+        return out
+
+    def _cuttable(self, raw: bytes) -> bool:
+        """Whether cutting before white space is certain to give the library's ids."""
+        if any(s in raw for s in self.special):
+            return False
+        return not (_ODD_ASCII.search(raw) if raw.isascii() else _ODD_SPACE.search(raw.decode()))
+
+    def lists(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of rows: the first row, the rows' ids one after the other, and the n + 1 places where rows begin and end. Null is empty."""
+        for first, data, offsets in slices(texts, BLOCK_BYTES):
+            held, n = data.tobytes(), len(offsets) - 1
+            whole = np.ones(n, bool)
+            if self.kind in ("bytes", "words"):
+                whole = np.array([not self._cuttable(held[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], bool)
+            kind = _KIND[data]
+            begins = np.zeros(len(data) + 1, bool)
+            begins[1 : len(data)] = _CUT[kind[:-1], kind[1:]]
+            begins[offsets] = True
+            starts = np.flatnonzero(begins[: len(data)])
+            lengths = np.diff(np.append(starts, len(data)))
+            row = np.searchsorted(offsets, starts, "right") - 1
+            hashes = span_hashes(data, starts, lengths)
+            cut = ~whole[row]
+            if not cut.all():
+                starts, lengths, row, hashes = starts[cut], lengths[cut], row[cut], hashes[cut]
+            keys, one, same = np.unique(hashes, return_index=True, return_inverse=True)
+            at = self.kept.find(keys)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                of = one[new]
+                self.kept.add(keys[new], self._encode([held[a : a + m] for a, m in zip(starts[of].tolist(), lengths[of].tolist())]))
+                at = self.kept.find(keys)
+            begin, size, pool = self.kept.begin[at][same], self.kept.size[at][same], self.kept.pool
+            # Texts that stay whole come after the others.
+            alone = np.flatnonzero(whole)
+            if len(alone):
+                ids = [np.frombuffer(self.whole(held[a:b].decode()), np.uint32) for a, b in zip(offsets[alone].tolist(), offsets[alone + 1].tolist())]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                row, begin, size = np.append(row, alone), np.append(begin, len(pool) + np.cumsum(sizes) - sizes), np.append(size, sizes)
+                pool = np.concatenate([pool, *ids])
+                by = np.argsort(row, kind="stable")
+                row, begin, size = row[by], begin[by], size[by]
+            edge = np.append(0, np.cumsum(size))[np.searchsorted(row, np.arange(n + 1))]
+            yield first, pool[spread(begin, size)], edge
 
     def ids(self, text: str) -> bytes:
-        """The same as ``whole``, by parts where that is certain to give the same."""
-        if self.kind not in ("bytes", "words") or any(s in text for s in self.special):
-            return self.whole(text)
-        if not _latin(text):
-            return self.whole(text) if _ODD_SPACE.search(text) else b"".join(map(self.parts.__getitem__, _WORDS.findall(text)))
-        if self.kind == "words":
-            return b"".join(map(self.words.__getitem__, text.lower().split()))
-        if any(r in text for r in _RUNS):
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.parts.__getitem__, _PARTS.findall(first)), *map(self.words.__getitem__, rest)])
+        """The ids of one text, as ``whole`` gives them."""
+        return b"".join(flat.tobytes() for _, flat, _ in self.lists(pa.array([text])))

@@ -169,9 +169,12 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             block = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.ids(text.as_py() or "") + end
-                block.append(Piece(doc, 0, memoryview(ids), len(ids) // 4))
+            names = batch.column(0).to_pylist()
+            for first_row, flat, edge in encoder.lists(batch.column(1)):
+                held, edge = flat.tobytes(), (4 * edge).tolist()
+                for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+                    ids = held[a:b] + end
+                    block.append(Piece(names[first_row + k], 0, memoryview(ids), len(ids) // 4))
             packer.block(block)
             out = []
             for tier, window in full:

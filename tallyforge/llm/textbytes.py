@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,6 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 
 mix = _splitmix
-_BYTE = _splitmix(np.arange(256, dtype=_U) + _U(1 << 40))
 _PLACE = _splitmix(np.arange(_TABLE, dtype=_U) + _U(1 << 50)) | _U(1)
 
 #: What bytes become: 0 separates words.
@@ -43,7 +43,16 @@ SPACED[0] = 255
 LETTERED = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def give_back() -> None:
+    """Return a worker's free memory to the system; workers live on between tasks, and those of other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Row blocks of about ``most_bytes``: first row, bytes, and the n + 1 places where rows begin and end. Null is empty."""
     whole = column.cast(pa.large_binary())
     _, at, data = whole.buffers()
@@ -58,6 +67,37 @@ def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, n
         first = last
 
 
+#: Masks of the first 0 to 8 bytes of a word of eight, and the length beyond which a span is hashed by itself.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+_ALONE = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans: sums of the mixed eights of bytes, each with its number, and the length."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    total = lengths.astype(_U)
+    with np.errstate(over="ignore"):
+        at = np.flatnonzero((lengths > 0) & (lengths <= _ALONE))
+        for k in range(_ALONE // 8):
+            if not len(at):
+                break
+            here = eights[starts[at] + 8 * k] & _FIRST[np.minimum(lengths[at] - 8 * k, 8)]
+            total[at] += _splitmix(here + _PLACE[k])
+            at = at[lengths[at] > 8 * k + 8]
+        for k in np.flatnonzero(lengths > _ALONE):
+            a, n = int(starts[k]), int(lengths[k])
+            here = eights[a : a + n : 8].astype(_U)
+            here[-1] &= _FIRST[(n - 1) % 8 + 1]
+            number = np.arange(len(here), dtype=_U)
+            places = _PLACE[number] if len(here) <= _TABLE else _splitmix(number + _U(1 << 50)) | _U(1)
+            total[k] += _splitmix(here + places).sum()
+    return _splitmix(total)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: its row, first byte, length and 64-bit hash."""
     folded = table[data]
@@ -67,18 +107,27 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     edges = offsets[1:-1]
     edges = edges[edges < len(data)]
     begins[edges] = inside[edges]
-    at = np.flatnonzero(inside)
-    heads = np.flatnonzero(begins[at])
-    none = np.zeros(0, np.int64)
-    if not len(heads):
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, _U)
-    lengths = np.diff(np.append(heads, len(at)))
-    starts = at[heads]
-    place = (at - np.repeat(starts, lengths)) & (_TABLE - 1)
-    with np.errstate(over="ignore"):
-        hashes = np.add.reduceat(_BYTE[folded[at]] * _PLACE[place], heads) + lengths.astype(_U)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    lengths = np.flatnonzero(ends) - starts + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return rows, starts, lengths, _splitmix(hashes)
+    return rows, starts, lengths, span_hashes(folded, starts, lengths)
+
+
+def by_row_and_hash(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> np.ndarray:
+    """The order by row, then hash: one sort of both in a word, and a plain one where its rest leaves ties open."""
+    bits = _U(max(1, int(n_rows).bit_length()))
+    joint = rows.astype(_U) << (_U(64) - bits) | hashes >> bits
+    order = np.argsort(joint)
+    joint = joint[order]
+    same = np.flatnonzero(joint[1:] == joint[:-1])
+    if len(same) and (hashes[order[same]] != hashes[order[same + 1]]).any():
+        return np.lexsort((hashes, rows))
+    return order
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, k: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +154,7 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, k: int, n_rows: int) -> tuple
                 total[has] += hashes[heads[has] + j] * _PLACE[2000 + j]
             total += counts[short].astype(_U)
         out_rows, out = np.concatenate([out_rows, short]), np.concatenate([out, _splitmix(total)])
-    order = np.lexsort((out, out_rows))
+    order = by_row_and_hash(out_rows, out, n_rows)
     out_rows, out = out_rows[order], out[order]
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (out_rows[1:] != out_rows[:-1])

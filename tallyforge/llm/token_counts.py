@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ def count_misses(misses: DataFrame, file: TokenizerFile) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(shared.value)
         for batch in batches:
-            counts = [len(encoder.ids(x.as_py())) // 4 for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            for first, _, edge in encoder.lists(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("digest").slice(first, len(edge) - 1), pa.array(np.diff(edge))], ["digest", "n_tokens"])
 
     return misses.mapInArrow(count, CACHE_SCHEMA)
 

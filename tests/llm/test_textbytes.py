@@ -33,3 +33,12 @@ def test_words_and_shingles(texts, most, k):
     for a in range(len(texts)):
         for b in range(a):
             assert len(grams_of.get(a, set()) & grams_of.get(b, set())) == len(wanted[a] & wanted[b])
+
+
+def test_words_longer_than_the_table():
+    x = "x" * 65_535
+    texts = [f"a{x}b", f"b{x}a", f"a{x}b", f"{x}ab", "y " + " " * 70_000 + "z"]
+    for most in (1, 1 << 30):
+        got = [list(words(data, offsets, SPACED)[3]) for _, data, offsets in slices(pa.array(texts), most)]
+        flat = [h for hashes in got for h in hashes]
+        assert len(flat) == 6 and flat[0] == flat[2] and len(set(flat)) == 5
