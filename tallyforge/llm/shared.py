@@ -15,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tallyforge-shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -32,16 +34,50 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there."""
+#: Spark's own switch: shuffle files go when the statement that made them ends.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``df`` as Parquet; the shuffle files behind it are gone afterwards."""
+    spark = df.sparkSession
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FILE_CLEANUP)
+        else:
+            spark.conf.set(_FILE_CLEANUP, before)
+
+
+def stored(df: DataFrame, label: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: its lineage ends there. ``scratch`` collects what is to be dropped later."""
     spark = df.sparkSession
     path = fresh_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if scratch is not None:
+        scratch.append(out)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` whose last reader is done."""
+    for table in tables:
+        if table.stored_at in _made:
+            _made.remove(table.stored_at)
+            _delete(table.sparkSession, table.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete what this process has written; results that are still lazy must have been read by then."""
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())

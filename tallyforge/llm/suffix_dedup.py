@@ -2,11 +2,11 @@
 
 A Burrows-Wheeler transform is built for bounded batches of text (``bwt``), in which threshold-bounded interval expansion finds the
 repeated strings. What has to meet in a batch is found by anchors: of each ``least`` bytes, the pieces of ``PIECE`` bytes whose hash is
-smallest. Each string has one anchor, and equal strings have equal anchors at equal places, so an anchor that occurs once rules out its
-strings. An anchor's context is what its strings cover: contexts that occur more than once are repeated as a
-whole; those that occur once, but share their anchor with others, are compared, together with one of each of the others: in a batch, hashes
-rule out the strings that are alone, and the transform tells the repeats in what is left. The contexts of an anchor beyond ``BLOCK`` go to
-several batches, and strings of these are matched by their hashes across the batches.
+smallest (the leftmost of equal ones). Each string has one anchor, and equal strings have equal anchors at equal places, so an anchor that occurs
+once rules out its strings. An anchor's context is what its strings cover: contexts that occur more than once are repeated as a
+whole; those that occur once, but share their anchor with others, are compared, together with one of each of the others: in a batch,
+``SIEVE_BITS`` of the strings' hashes rule out most of those that are alone, and the transform tells the repeats in what is left. The contexts of an
+anchor beyond ``BLOCK`` go to several batches; strings that two of these may share meet in a further transform.
 
 Documents are told apart by the hash and length of their text, so copies are worked on once; anchors and contexts by 64-bit hashes.
 """
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bwt import repeat_groups
-from tallyforge.llm.shared import stored
-from tallyforge.llm.textbytes import mix, slices
+from tallyforge.llm.shared import dropped, stored
+from tallyforge.llm.textbytes import give_back, mix, slices
 
 LEAST, PIECE = 200, 64
 #: Distinct contexts of an anchor in one batch; bytes in a batch; longs of the fixed-size filters (4 MB).
 BLOCK, BATCH_BYTES, FILTER_LONGS = 2048, 1 << 20, 1 << 19
+#: Bits of the hashes that rule out strings which are alone in a batch; what shares them by chance is told apart by the transform.
+SIEVE_BITS = 28
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix(np.arange(256, dtype=_U) + _U(77)) | _U(1)
@@ -36,7 +38,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept per worker."""
     if len(_powers.get("base", ())) <= n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(19, int(n).bit_length())
         for name, x in (("base", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
             out = np.full(size, x, _U)
             out[0] = 1
@@ -69,6 +71,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def _leftmost(x: np.ndarray, lowest: np.ndarray, width: int) -> np.ndarray:
+    """Where the least value of each ``width`` neighbours stands, the leftmost of equal ones; ``lowest`` are these values."""
+    n = len(lowest)
+    place = np.zeros(n, np.int64)
+    # A value below all before has just come in at the right.
+    falls = np.flatnonzero(lowest[1:] < lowest[:-1]) + 1
+    place[falls] = falls + width - 1
+    # Where the place before has been left, the next one is looked up; elsewhere it stays, and places only grow.
+    left = np.flatnonzero(np.append(True, (lowest[1:] > lowest[:-1]) | (x[: n - 1] == lowest[1:])))
+    windows = np.lib.stride_tricks.sliding_window_view(x, width)
+    for a in range(0, len(left), 1024):
+        some = left[a : a + 1024]
+        place[some] = some + (windows[some] == lowest[some, None]).argmax(axis=1)
+    return np.maximum.accumulate(place)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Of each anchor: document, place, hash of its piece, and the first and last start of the strings it stands for. Places are in ``data``.
 
@@ -79,14 +97,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     hashes = Hashes(data)
     at = np.arange(len(data) - PIECE + 1)
     pieces = mix(hashes.of(at, at + PIECE))
-    bits = _U(int(len(data)).bit_length())
-    # Places in the low bits decide ties, the leftmost first, so equal strings choose equal places.
-    low = _sliding_min((pieces >> bits << bits) | at.astype(_U), least - PIECE + 1) & ((_U(1) << bits) - _U(1))
+    width = least - PIECE + 1
+    low = _leftmost(pieces, _sliding_min(pieces, width), width)
     row = np.searchsorted(offsets, np.arange(len(low)), "right") - 1
     starts = np.flatnonzero(np.arange(len(low)) + least <= offsets[row + 1])
     if not len(starts):
         return none, none, none.view(_U), none, none
-    chosen, row = low[starts].astype(np.int64), row[starts]
+    chosen, row = low[starts], row[starts]
     head = np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]))
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(starts)) - 1
@@ -204,7 +221,7 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
         hashes = Hashes(data).of(at, at + least).view(np.int64)
         single = np.array([h[3] < 2 for h in held])
         times = np.where(single, 1, 2)[owner]
-        _, same = np.unique(hashes, return_inverse=True)
+        _, same = np.unique(mix(hashes.view(_U)) >> _U(64 - SIEVE_BITS), return_inverse=True)
         likely = np.bincount(same, times)[same] > 1
         edge = np.append(True, (likely[1:] != likely[:-1]) | (owner[1:] != owner[:-1]))
         heads = np.flatnonzero(edge)
@@ -252,30 +269,38 @@ def compare(rows: DataFrame, least: int) -> DataFrame:
                 size += len(row[7])
         if held and (got := batch_out(held)) is not None:
             yield got
+        give_back()
 
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor", "salt").sortWithinPartitions("anchor", "salt")
     return dealt.mapInArrow(run, "kind int, t long, n int, first int, last int, string long, anchor long")
 
 
-def repeated_runs(texts: DataFrame, least: int) -> DataFrame:
+def repeated_runs(texts: DataFrame, least: int, scratch: list[DataFrame]) -> DataFrame:
     """``t, n, first, last``: runs of repeated starts; runs of one text may overlap."""
-    repeated = stored(anchor_counts(texts, least), "anchors")
-    found = stored(occurrences(texts, repeated, least), "places")
+    repeated = stored(anchor_counts(texts, least), "anchors", scratch)
+    found = stored(occurrences(texts, repeated, least), "places", scratch)
     kinds = found.groupBy("anchor", "context").agg(F.sum("times").alias("times"), F.min(F.struct("t", "n", "first", "last")).alias("one"))
-    kinds = stored(kinds, "contexts")
+    kinds = stored(kinds, "contexts", scratch)
     whole = found.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("t", "n", "first", "last")
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("n_contexts"), F.min("times").alias("least_times")).where("n_contexts > 1 AND least_times = 1")
     salts = F.ceil(F.col("n_contexts") / BLOCK).cast("int")
     wanted = kinds.join(groups, "anchor").withColumn("salts", salts).select("anchor", F.pmod(F.xxhash64("context"), F.col("salts")).cast("int").alias("salt"), "salts", "times", "one.t", "one.n", "one.first", "one.last")
-    compared = stored(compare(contexts(texts, stored(wanted, "wanted"), least), least), "compared")
+    compared = stored(compare(contexts(texts, stored(wanted, "wanted", scratch), least), least), "compared", scratch)
     runs = whole.unionByName(compared.where("kind = 0").select("t", "n", "first", "last"))
-    # Strings of one anchor in several batches: those that two batches have.
+    # Strings of one anchor in several batches: hashes rule out those that one batch alone has, and of the others one that is known to be
+    # repeated, or any, and another one meet in a further transform.
     across = compared.where("kind > 0")
     if not across.isEmpty():
         origin = F.struct("t", "n", "first")
-        twice = across.groupBy("anchor", "string").agg(F.min("kind").alias("kind"), F.min(origin).alias("one"), F.max(origin).alias("other"))
-        twice = twice.where("kind = 1 OR one <> other").select("anchor", "string")
-        runs = runs.unionByName(across.where("kind = 2").join(twice, ["anchor", "string"], "left_semi").select("t", "n", "first", "last"))
+        known, unknown = F.when(F.col("kind") == 1, origin), F.when(F.col("kind") == 2, origin)
+        same = across.groupBy("anchor", "string").agg(F.min(known).alias("known"), F.min(unknown).alias("one"), F.max(unknown).alias("other"))
+        same = same.where("one IS NOT NULL AND (known IS NOT NULL OR one <> other)")
+        met = stored(same.select("anchor", "string", F.explode(F.array("one", F.coalesce("known", "other"))).alias("o")).select("anchor", "string", "o.*"), "met", scratch)
+        once = F.lit(1).cast("long")
+        again = met.select(F.xxhash64("anchor", "string").alias("anchor"), F.lit(0).alias("salt"), F.lit(1).alias("salts"), once.alias("times"), "t", "n", "first", F.col("first").alias("last"))
+        equal = stored(compare(contexts(texts, again, least), least), "equal", scratch)
+        sure = met.join(equal.select("t", "n", "first"), ["t", "n", "first"], "left_semi").select("anchor", "string").distinct()
+        runs = runs.unionByName(across.where("kind = 2").join(sure, ["anchor", "string"], "left_semi").select("t", "n", "first", "last"))
     return runs
 
 
@@ -302,7 +327,9 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, id_col: str = "doc_id
         raise ValueError(f"least must be {2 * PIECE} or more")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), *text_keys(text))
-    runs = stored(repeated_runs(texts.where(F.col("n") >= least), least), "runs")
+    scratch: list[DataFrame] = []
+    runs = stored(repeated_runs(texts.where(F.col("n") >= least), least, scratch), "runs")
+    dropped(*scratch)
     # Distinct runs of a text are bounded by its length.
     per_text = runs.groupBy("t", "n", "first").agg(F.max("last").alias("last")).groupBy("t", "n").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = texts.join(per_text, ["t", "n"], "left")
