@@ -15,7 +15,7 @@ from tallyforge.llm.jaccard_join import one_of_each
 from tallyforge.llm.packing import pack
 from tallyforge.llm.quality import select_quality
 from tallyforge.llm.secret_scan import without_secrets
-from tallyforge.llm.shared import fresh_folder
+from tallyforge.llm.shared import fresh_folder, write
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs
