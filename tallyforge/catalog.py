@@ -1,7 +1,7 @@
-"""Tables as immutable versions: a name leads to a DataFrame over written files, and a change makes the next version.
+"""Tables as immutable versions: a name leads to a list of written files, and a change makes the next list.
 
-A snapshot is a copy of the dictionaries, so transactions and savepoints cost nothing per row. Versions are Parquet in the data folder,
-which cuts lineage and outlives executors.
+An append adds files; a change of rows replaces only the files that hold one of them. A snapshot is a copy of the dictionaries, so
+transactions and savepoints cost nothing per row. Files are Parquet in the data folder, which cuts lineage and outlives executors.
 """
 
 from __future__ import annotations
@@ -29,13 +29,15 @@ class Column:
 
 @dataclass(frozen=True)
 class Table:
-    """``history`` has closed rows of a system-versioned table, with valid_from and valid_to in milliseconds; ``since`` is parallel to
-    ``data``: the same rows with valid_from."""
+    """``history`` has closed rows of a system-versioned table, with valid_from and valid_to in milliseconds. ``files`` and ``past`` are the
+    files of ``data`` and ``history``; a table that was registered, not made here, has none."""
 
     data: DataFrame
     columns: tuple[Column, ...] = ()
     temporal: bool = False
     history: DataFrame | None = None
+    files: tuple[str, ...] = ()
+    past: tuple[str, ...] = ()
 
 
 @dataclass
@@ -88,11 +90,36 @@ class Catalog:
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.files[path] = name
-        return self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+        return self.over((path,), df)
 
-    def new_version(self, name: str, df: DataFrame, **changes) -> None:
+    def over(self, paths: tuple[str, ...], like: DataFrame) -> DataFrame:
+        """The rows of these files, in the columns of ``like``."""
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in like.schema])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def owned(self, name: str) -> Table:
+        """The table, with files of its own; one that was registered is written once."""
         table = self.get(name)
-        self.put(name, replace(table, data=self.written(name, df), **changes))
+        if not table.files and not table.columns:
+            data = self.written(name, table.data)
+            table = replace(table, data=data, files=tuple(data.inputFiles()))
+        return table
+
+    def append(self, name: str, fresh: DataFrame) -> None:
+        """Add rows that are ``written``."""
+        table = self.owned(name)
+        files = (*table.files, *fresh.inputFiles())
+        self.put(name, replace(table, data=self.over(files, table.data), files=files))
+
+    def with_past(self, table: Table, name: str, closed: DataFrame) -> Table:
+        """The table with more closed rows in its history."""
+        past = (*table.past, *self.written(f"{name}_history", closed).inputFiles())
+        return replace(table, history=self.over(past, table.history), past=past)
+
+    def new_version(self, name: str, df: DataFrame, **changes) -> None:
+        """All rows anew."""
+        data = self.written(name, df)
+        self.put(name, replace(self.get(name), data=data, files=tuple(data.inputFiles()), **changes))
 
     def column(self, name: str, column: str) -> str:
         """The stored spelling of a column."""

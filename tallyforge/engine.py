@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.catalog import Catalog, Column, Table, data_folder
@@ -36,7 +37,7 @@ def spark_type(text: str) -> str:
 
 
 class Engine:
-    """``clock`` gives milliseconds, for system-versioned tables. ``log_path`` is a local file to which committed changes are appended."""
+    """``clock`` gives milliseconds, for system-versioned tables. ``log_path`` is a folder to which committed changes are added, a file each."""
 
     def __init__(self, spark: SparkSession, data_dir: str | None = None, log_path: str | None = None, clock: Callable[[], int] | None = None):
         self.spark = spark
@@ -46,6 +47,8 @@ class Engine:
         self.table_types: dict[str, tuple[Column, ...]] = {}
         self.context: dict[str, str] = {}
         self.hints: dict[str, str] = {}
+        self.schemas: set[str] = set()
+        self._arguments = 0
         self.log_path, self._log, self._replaying = log_path, [], False
         self._transaction: tuple | None = None
         self._savepoints: list[tuple[str, tuple, int]] = []
@@ -81,18 +84,31 @@ class Engine:
         return row[0] if row else None
 
     def flush(self) -> None:
-        """Write what the log still holds."""
+        """Write what the log still holds, as one further file of the log's folder."""
         if self.log_path and self._log:
-            with open(self.log_path, "a") as f:
-                f.writelines(json.dumps({"sql": s}) + "\n" for s in self._log)
+            n = len(self._log_files())
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.log_path}/{n:012d}.json")
+            out = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
+            out.write("".join(json.dumps({"sql": s}) + "\n" for s in self._log).encode())
+            out.close()
         self._log = []
 
+    def _log_files(self) -> list[str]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.log_path)
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        return sorted(s.getPath().toString() for s in system.listStatus(folder) if s.getPath().getName().endswith(".json"))
+
     def replay(self) -> int:
         """Run the log's statements again, in a fresh engine."""
         self._replaying = True
         try:
-            with open(self.log_path) as f:
-                lines = [json.loads(x)["sql"] for x in f if x.endswith("\n")]
+            lines: list[str] = []
+            for path in self._log_files():
+                lines += [r.value for r in self.spark.read.text(path).toLocalIterator()]
+            # A line that was cut off while it was written is no statement; only the last can be.
+            lines = [json.loads(x)["sql"] for k, x in enumerate(lines) if k + 1 < len(lines) or x.endswith("}")]
             for s in lines:
                 self.sql(s)
         finally:
@@ -113,7 +129,7 @@ class Engine:
         return (
             ("EXPLAIN", self._explain), ("ANALYZE", self._analyze), ("VACUUM", self._vacuum), ("CHECKPOINT", self._checkpoint), ("COPY", self._copy),
             ("BEGIN", self._begin), ("COMMIT", self._commit), ("ROLLBACK TO", self._rollback_to), ("ROLLBACK", self._rollback), ("SAVEPOINT", self._savepoint), ("RELEASE", self._release),
-            ("CREATE TABLE", log(self._create_table)), ("DROP TABLE", log(self._drop_table)), ("ALTER TABLE", log(self._alter)), ("CREATE SCHEMA", lambda s: self._status("schema")),
+            ("CREATE TABLE", log(self._create_table)), ("DROP TABLE", log(self._drop_table)), ("ALTER TABLE", log(self._alter)), ("CREATE SCHEMA", log(self._create_schema)),
             ("CREATE INDEX", log(self._create_index)), ("CREATE UNIQUE INDEX", log(self._create_index)), ("DROP INDEX", log(self._drop_index)),
             ("CREATE VIEW", log(self._create_view)), ("CREATE OR ALTER VIEW", log(self._create_view)), ("CREATE OR REPLACE VIEW", log(self._create_view)), ("DROP VIEW", log(self._drop_view)),
             ("CREATE PROCEDURE", log(self._procedure)), ("CREATE OR ALTER PROCEDURE", log(self._procedure)), ("CREATE FUNCTION", log(self._function)), ("CREATE OR ALTER FUNCTION", log(self._function)), ("CREATE TYPE", log(self._create_type)),
@@ -140,7 +156,7 @@ class Engine:
     # ------------------------------------------------------------ queries
 
     def _select(self, text: str, params: dict | None = None) -> DataFrame:
-        text, found = extensions.strip(text)
+        text, found = extensions.strip(self._qualified(text))
         self.hints = found.hints
         quoted = lambda m: "NULL" if (v := self.context.get(m[1])) is None else "'" + v.replace("'", "''") + "'"
         text = re.sub(r"\bSESSION_CONTEXT\s*\(\s*N?'([^']*)'\s*\)", quoted, text, flags=re.I)
@@ -157,6 +173,20 @@ class Engine:
             df = similarity.within_hamming(df, column or df.columns[0], value, most)
         return df
 
+    def _create_schema(self, text: str) -> DataFrame:
+        """A schema is a part of its tables' names."""
+        m = re.match(r"CREATE\s+SCHEMA\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s*$", text, re.I)
+        if not m:
+            raise ParseError(text)
+        self.schemas.add(m[1].lower())
+        return self._status("created")
+
+    def _qualified(self, text: str) -> str:
+        for schema in self.schemas:
+            for m in reversed(list(re.finditer(rf"\b{schema}\s*\.\s*(\w+)", mask(text), re.I))):
+                text = f"{text[: m.start()]}{schema}_{m[1].lower()}{text[m.end() :]}"
+        return text
+
     def _json(self, text: str) -> str:
         """JSON_VALUE and JSON_QUERY as expressions."""
         for name, keep in (("JSON_VALUE", "NOT"), ("JSON_QUERY", "")):
@@ -318,7 +348,11 @@ class Engine:
         history = table.history
         if table.temporal:
             history = self.spark.createDataFrame([], df.schema).withColumn("_valid_to", F.lit(0).cast("long")).unionByName(history, allowMissingColumns=True).select(*df.columns, "_valid_to") if verb != "DROP" else history.drop(gone)
-        self.catalog.new_version(name, df, columns=columns, history=history)
+        past = ()
+        if table.temporal:
+            history = self.catalog.written(f"{name}_history", history)
+            past = tuple(history.inputFiles())
+        self.catalog.new_version(name, df, columns=columns, history=history, past=past)
         return self._status("altered")
 
     def _create_index(self, text: str) -> DataFrame:
@@ -387,31 +421,81 @@ class Engine:
             full.append(value.cast(kind).alias(c))
         rows = rows.select(*full)
         identity = [c.name for c in table.columns if c.identity and c.name not in listed]
+        if identity:
+            rows = self._numbered(name, rows, identity, table).select(*stored)
+        # Written once, then counted and checked as they are in the files.
+        fresh = self.catalog.written(name, self._stamped(rows, table))
+        self._check(name, fresh, table.data)
+        self.catalog.append(name, fresh)
+        return self._affected(fresh.count())
+
+    def _numbered(self, name: str, rows: DataFrame, identity: list[str], table: Table) -> DataFrame:
+        """``rows`` with the next numbers in the columns ``identity``: each task's rows follow those of the tasks before it."""
+        staged = self.catalog.written(f"{name}_staged", rows.withColumn("_n", F.monotonically_increasing_id()))
+        task = F.expr("shiftright(_n, 33)")
+        # One row per task that wrote rows.
+        counts = staged.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()
+        before, offsets = 0, []
+        for r in counts:
+            offsets.append((r.task, before))
+            before += r.n
+        placed = staged.withColumn("_task", task).join(F.broadcast(self.spark.createDataFrame(offsets, "_task long, _before long")), "_task")
         for c in identity:
             top = table.data.agg(F.max(c)).first()[0] or 0
-            kind = table.data.schema[c].dataType
-            rows = rows.drop(c).withColumn("_n", F.monotonically_increasing_id()).withColumn(c, (F.row_number().over(_all_by("_n")) + top).cast(kind)).select(*stored)
-        rows = self._stamped(rows, table)
-        n = rows.count()
-        self.catalog.new_version(name, table.data.unionByName(rows))
-        return self._affected(n)
+            placed = placed.withColumn(c, (F.col("_before") + F.expr("_n & 8589934591") + 1 + top).cast(table.data.schema[c].dataType))
+        return placed
+
+    def _check(self, name: str, fresh: DataFrame, old: DataFrame | None) -> None:
+        """Constraints that new rows must meet: NOT NULL, PRIMARY KEY (against ``old`` as well), REFERENCES."""
+        columns = self.catalog.get(name).columns
+        needed = [c.name for c in columns if c.not_null]
+        if needed and not fresh.where(" OR ".join(f"`{c}` IS NULL" for c in needed)).isEmpty():
+            raise InvalidArgument(f"null in a NOT NULL column of {name!r}")
+        key = [c.name for c in columns if c.primary_key]
+        if key:
+            twice = fresh.groupBy(*key).count().where("count > 1")
+            if not twice.isEmpty() or old is not None and not fresh.select(*key).join(old.select(*key), key, "left_semi").isEmpty():
+                raise InvalidArgument(f"primary key of {name!r} is not unique")
+        for c in columns:
+            parent = name_of(c.references.split("(")[0]) if c.references else None
+            if parent in self.catalog.tables:
+                other = self.catalog.get(parent)
+                at = next((p.name for p in other.columns if p.primary_key), other.data.columns[0])
+                keys = other.data.select(F.col(at).alias(c.name))
+                keys = keys.unionByName(fresh.select(c.name)) if parent == name else keys
+                if not fresh.select(c.name).where(F.col(c.name).isNotNull()).join(keys, c.name, "left_anti").isEmpty():
+                    raise InvalidArgument(f"{c.name!r} of {name!r} refers to no row of {parent!r}")
 
     def _change(self, name: str, changed, after) -> int:
-        """Rows for which ``changed`` holds become ``after(df)`` (None: they go). Old versions of a temporal table are kept."""
-        table = self.catalog.get(name)
+        """Rows for which ``changed`` holds become ``after(df)`` (None: they go). Files without such rows stay as they are; old versions of a
+        temporal table are kept."""
+        table = self.catalog.owned(name)
+        if not table.files:
+            return 0
         test = F.coalesce(changed, F.lit(False))
-        hit = table.data.where(test)
-        n = hit.count()
+        # One row per file that holds a hit.
+        found = table.data.where(test).groupBy(F.col("_metadata.file_path").alias("file")).count().collect()
+        n = sum(r["count"] for r in found)
         if not n:
             return 0
+        short = lambda f: "/".join(f.rsplit("/", 2)[1:])  # noqa: E731  the file systems' spellings of a path differ
+        touched = {short(r.file) for r in found}
+        old = self.catalog.over(tuple(f for f in table.files if short(f) in touched), table.data)
         now = self.clock()
-        new = table.data.where(~test)
+        new = old.where(~test)
         if after is not None:
-            new = new.unionByName(self._stamped(after(hit), table).select(*table.data.columns))
-        history = table.history
+            changed_rows = self.catalog.written(name, self._stamped(after(old.where(test)), table).select(*table.data.columns))
+            keys = [c for c in table.columns if c.primary_key or c.not_null or c.references]
+            if keys:
+                untouched = table.data.where(~test)
+                self._check(name, changed_rows, untouched)
+            files = tuple(changed_rows.inputFiles())
+        else:
+            files = ()
+        files = (*(f for f in table.files if short(f) not in touched), *self.catalog.written(name, new).inputFiles(), *files)
         if table.temporal:
-            history = self.catalog.written(f"{name}_history", history.unionByName(hit.withColumn("_valid_to", F.lit(now).cast("long"))))
-        self.catalog.new_version(name, new, history=history)
+            table = self.catalog.with_past(table, name, old.where(test).withColumn("_valid_to", F.lit(now).cast("long")))
+        self.catalog.put(name, replace(table, data=self.catalog.over(files, table.data), files=files))
         return n
 
     def _update(self, text: str) -> DataFrame:
@@ -504,14 +588,14 @@ class Engine:
         out = self.catalog.written(f"{name}_merge", out)
         n = out.where("_verdict >= 0").count()
         new = out.where(F.col("_t").isNotNull() | (F.col("_verdict") >= 0)).where(~F.col("_verdict").isin(gone or [-2]))
-        history = table.history
         if table.temporal:
             now = F.lit(self.clock()).cast("long")
             changed = out.where("_verdict >= 0 AND _t IS NOT NULL").select("_t")
-            old = self.catalog.written(f"{name}_old", t.join(changed, "_t", "left_semi").drop("_t").withColumn("_valid_to", now))
-            history = self.catalog.written(f"{name}_history", history.unionByName(old))
+            table = self.catalog.with_past(table, name, t.join(changed, "_t", "left_semi").drop("_t").withColumn("_valid_to", now))
             new = new.withColumn("_valid_from", F.when(F.col("_verdict") >= 0, now).otherwise(F.col("_valid_from")))
-        self.catalog.new_version(name, new.select(*table.data.columns), history=history)
+        merged = self.catalog.written(name, new.select(*table.data.columns))
+        self._check(name, merged, None)
+        self.catalog.put(name, replace(table, data=merged, files=tuple(merged.inputFiles())))
         return self._affected(n)
 
     # ------------------------------------------------------------ system-versioned tables
@@ -600,19 +684,19 @@ class Engine:
         if m[2].upper() == "TO":
             return self._affected(files.write_csv(visible, m[3]))
         rows = self._stamped(files.read_csv(self.spark, m[3], True, visible.schema), table)
-        n = rows.count()
-        self.catalog.new_version(name, table.data.unionByName(rows))
-        return self._affected(n)
+        fresh = self.catalog.written(name, rows.select(*table.data.columns))
+        self._check(name, fresh, table.data)
+        self.catalog.append(name, fresh)
+        return self._affected(fresh.count())
 
     def _vacuum(self, text: str) -> DataFrame:
-        """Delete the files of versions that nothing leads to any more; not within a transaction."""
+        """Delete the folders of versions that nothing leads to any more; not within a transaction."""
         if self._transaction is not None:
             raise InvalidArgument("a transaction is active")
-        used = {f for t in self.catalog.tables.values() for df in (t.data, t.history) if df is not None for f in df.inputFiles()}
+        used = {f.rsplit("/", 2)[1] for t in self.catalog.tables.values() for df in (t.data, t.history) if df is not None for f in df.inputFiles()}
         n = 0
         for path in list(self.catalog.files):
-            plain = path.removeprefix("file://")
-            if not any(plain in f for f in used):
+            if path.rsplit("/", 1)[1] not in used:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
                 del self.catalog.files[path]
@@ -644,7 +728,7 @@ class Engine:
             raise ParseError(text)
         if name_of(m[1]) in self.procedures and not re.match(r"CREATE\s+OR\b", text, re.I):
             raise InvalidArgument(f"procedure {m[1]!r} exists")
-        params = [p.split()[0] for p in split(m[2][1:-1])] if m[2] else []
+        params = [(p.split()[0], name_of(p.split()[1]) if len(p.split()) > 1 else "") for p in split(m[2][1:-1])] if m[2] else []
         body = re.sub(r"^\s*BEGIN\s+(.*?)\s*END\s*$", r"\1", m[3], flags=re.I | re.S)
         self.procedures[name_of(m[1])] = params, body
         return self._status("created")
@@ -654,10 +738,12 @@ class Engine:
         name = name_of(m[1])
         if name not in self.procedures:
             raise NotFound(f"no procedure {name!r}")
-        params, body = self.procedures[name]
+        declared, body = self.procedures[name]
+        params = [p for p, _ in declared]
         given = split(m[2].strip()[1:-1] if m[2].strip().startswith("(") else m[2])
         if params and len(given) != len(params):
             raise InvalidArgument(f"{len(params)} arguments expected, {len(given)} given")
+        given = [self._table_argument(v, self.table_types[kind]) if kind in self.table_types else v for v, (_, kind) in zip(given, declared)] if declared else given
         for k, value in enumerate(given, 1):
             if k <= len(params):
                 body = re.sub(rf"@?{re.escape(params[k - 1].lstrip('@'))}\b" if params[k - 1].startswith("@") else rf"@{re.escape(params[k - 1])}\b", lambda _: value, body)
@@ -678,6 +764,24 @@ class Engine:
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[1]}({', '.join(params)}) RETURNS {spark_type(m[3])} RETURN {body}")
         return self._status("created")
 
+    def _table_argument(self, value: str, columns: tuple[Column, ...]) -> str:
+        """The name of a table that has the columns of a table type, given by name or as a query in parentheses."""
+        source = self.spark.sql(inside(value)[0]) if value.strip().startswith("(") else self.spark.table(name_of(value))
+        if len(source.columns) != len(columns):
+            raise InvalidArgument(f"a table of {len(columns)} columns expected, {len(source.columns)} given")
+        self._arguments += 1
+        view = f"_argument_{self._arguments}"
+        source.toDF(*[c.name for c in columns]).select(*[F.col(c.name).cast(c.type) for c in columns]).createOrReplaceTempView(view)
+        return view
+
+    def cursor(self, text: str, max_rows: int, **params) -> Iterator[list[Row]]:
+        """The rows of a query, ``max_rows`` at a time; the driver holds a partition and a page."""
+        if max_rows < 1:
+            raise InvalidArgument("max_rows must be positive")
+        rows = self.sql(text, **params).toLocalIterator()
+        while page := list(islice(rows, max_rows)):
+            yield page
+
     def set_context(self, key: str, value: str | None) -> None:
         """A value of the session; None removes it."""
         if value is None:
@@ -694,10 +798,3 @@ class Engine:
             raise ParseError(text)
         self.table_types[name_of(m[1])] = tuple(c for c in map(self._column, split(inside(text, m.end())[0])) if c)
         return self._status("created")
-
-
-def _all_by(column: str):
-    """Numbers inserted rows; only statements that give identity values use it."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)

@@ -43,6 +43,15 @@ def signatures(df: DataFrame, vector: str, dim: int, tables: int = 10, bits: int
     return df.select("*", F.explode(F.array(*out)).alias("_s")).select(*df.columns, "_s.lsh_table", "_s.lsh_signature")
 
 
+def lsh_lookup(df: DataFrame, vector: str, queries: DataFrame, query_vector: str, dim: int, tables: int = 10, bits: int = 12, seed: int = 42) -> DataFrame:
+    """Each row of ``queries`` with the rows of ``df`` that share a bucket with it in some table, once, and their cosine as ``score``.
+
+    The columns of the two must differ. Buckets are joined by a plain shuffle, so AQE splits a full one."""
+    asked = signatures(queries, query_vector, dim, tables, bits, seed)
+    pairs = signatures(df, vector, dim, tables, bits, seed).join(asked, ["lsh_table", "lsh_signature"]).drop("lsh_table", "lsh_signature").distinct()
+    return pairs.withColumn("score", cosine(F.col(vector), F.col(query_vector)))
+
+
 def bit_slices(df: DataFrame, c: str, bits: int = 64) -> DataFrame:
     """``bit, n``: rows that have each bit of an integer column set."""
     slices = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.struct(b.alias("bit"), F.getbit(F.col(c).cast("long"), b).alias("on")))

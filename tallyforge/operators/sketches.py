@@ -5,9 +5,11 @@ HyperLogLog and quantile sketches are Spark's own; Count-Min is kept as a table
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,26 @@ def agm_triangle(r: int, s: int, t: int) -> float:
     return math.sqrt(r * s * t)
 
 
+def agm_bound(relations: dict[str, tuple[str, ...]], rows: dict[str, int]) -> float:
+    """Most rows of a natural join of relations over attributes: the product of rows ** weight over the least fractional edge cover.
+
+    The cover is a corner of a polytope of as many dimensions as there are relations (a query's, so few); all corners are tried."""
+    names = sorted(relations)
+    if any(rows[r] == 0 for r in names):
+        return 0.0
+    attributes = sorted({a for r in names for a in relations[r]})
+    planes = [([float(a in relations[r]) for r in names], 1.0) for a in attributes] + [([float(r == s) for s in names], 0.0) for r in names]
+    cost = np.log([rows[r] for r in names])
+    best = math.inf
+    for corner in itertools.combinations(planes, len(names)):
+        matrix = np.array([p[0] for p in corner])
+        if abs(np.linalg.det(matrix)) > 1e-9:
+            x = np.linalg.solve(matrix, [p[1] for p in corner])
+            if all(np.dot(p, x) >= least - 1e-9 for p, least in planes):
+                best = min(best, float(cost @ x))
+    return math.exp(best)
+
+
 def prefers_multiway(agm: float, pairwise: float) -> bool:
     return agm < pairwise / 2
 

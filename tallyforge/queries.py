@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.plans import catalogue, statements, tpch, web, windows  # noqa: F401  they register their queries
+from tallyforge.plans import catalogue, statements, tpch, upkeep, web, windows  # noqa: F401  they register their queries
 from tallyforge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "entry_query"]
