@@ -6,7 +6,6 @@ transactions and savepoints cost nothing per row. Files are Parquet in the data
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tallyforge.errors import InvalidArgument, NotFound
+from tallyforge.operators.recursive import shared_folder
 
 
 @dataclass(frozen=True)
@@ -132,5 +132,4 @@ class Catalog:
 def data_folder(spark: SparkSession, folder: str | None) -> str:
     if folder:
         return folder.rstrip("/")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tallyforge-shared"
-    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"

@@ -14,7 +14,10 @@ DEFAULT_ROUNDS, NO_LIMIT = 100, 100_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tallyforge-shared").rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or f"file://{tempfile.gettempdir()}/tallyforge-shared").rstrip("/")
 
 
 def fixpoint(anchor: DataFrame, body: Callable[[DataFrame], DataFrame], max_rounds: int = DEFAULT_ROUNDS) -> DataFrame:
