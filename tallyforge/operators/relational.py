@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 JOIN_KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 AGGREGATES = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
@@ -28,10 +29,18 @@ def exists(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], n
 
 
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
-    """NOT IN as SQL has it: no row if ``right`` has a null, no row whose value is null unless ``right`` is empty."""
-    left.createOrReplaceTempView("_not_in_left")
-    right.select(F.col(other).alias("_v")).createOrReplaceTempView("_not_in_right")
-    return left.sparkSession.sql(f"SELECT * FROM _not_in_left WHERE `{column}` NOT IN (SELECT _v FROM _not_in_right)")
+    """NOT IN as SQL has it: no row if ``right`` has a null, no row whose value is null unless ``right`` is empty.
+
+    One aggregate tells which case holds, so what remains is a plain anti join: Catalyst broadcasts its right side only below the checked
+    size, where a null-aware one is broadcast whatever its size.
+    """
+    values = right.select(F.col(other).alias("_not_in"))
+    n, nulls = values.agg(F.count("*"), F.count_if(F.col("_not_in").isNull())).first()
+    if not n:
+        return left
+    if nulls:
+        return left.where(F.lit(False))
+    return left.where(F.col(column).isNotNull()).join(values.distinct(), F.col(column) == F.col("_not_in"), "left_anti")
 
 
 def intersect_sorted(sets: Sequence[DataFrame], key: str) -> DataFrame:
@@ -113,16 +122,30 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
     return left.withColumn("_bucket", bucket).join(cut, "_bucket").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: Sequence[str]) -> DataFrame:
-    """Each row of ``left`` with the values of the last row of ``right`` at or before its time: a union, sorted once per key."""
+def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: Sequence[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each row of ``left`` with the values of the last row of ``right`` at or before its time. Null keys and times match nothing.
+
+    A union of both, sorted per key and ``bucket`` of the time, which must not decrease as time grows (timestamps: their day; others: one
+    bucket, unless given). So a key that holds a third of the rows is many sorts. What a bucket takes over from those before it is one row per
+    key and bucket.
+    """
     from pyspark.sql import Window
 
+    if bucket is None:
+        days = isinstance(left.schema[time].dataType, (T.TimestampType, T.TimestampNTZType))
+        bucket = (lambda c: F.date_trunc("day", c)) if days else (lambda c: F.lit(0))
+    names = [f"right_{v}" for v in values]
     mine = left.withColumn("_side", F.lit(1))
     for v in values:
         mine = mine.withColumn(f"right_{v}", F.lit(None).cast(right.schema[v].dataType))
-    other = right.select(by, time, F.lit(0).alias("_side"), *[F.col(v).alias(f"right_{v}") for v in values])
-    both = mine.unionByName(other, allowMissingColumns=True)
-    window = Window.partitionBy(by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(*[f"right_{v}" for v in values])), ignorenulls=True).over(window)
-    out = both.withColumn("_last", last).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_last.right_{v}").alias(f"right_{v}") for v in values])
+    known = right.where(F.col(by).isNotNull() & F.col(time).isNotNull())
+    other = known.select(by, time, F.lit(0).alias("_side"), *[F.col(v).alias(f"right_{v}") for v in values])
+    both = mine.unionByName(other, allowMissingColumns=True).withColumn("_bucket", bucket(F.col(time)))
+    row, theirs = F.struct(*names), F.col("_side") == 0
+    window = Window.partitionBy(by, "_bucket").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_last", F.last(F.when(theirs, row), ignorenulls=True).over(window)).where("_side = 1")
+    ends = both.groupBy(by, "_bucket").agg(F.max_by(F.when(theirs, row), F.when(theirs, F.col(time))).alias("_end"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).select(by, "_bucket", "_carried")
+    out = inside.join(carried, [by, "_bucket"], "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return out.select(*left.columns, *[F.col(f"_last.{n}").alias(n) for n in names])

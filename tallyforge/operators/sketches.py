@@ -60,12 +60,12 @@ def quantiles(c: Column | str, at: list[float], accuracy: int = 10_000) -> Colum
     return F.percentile_approx(c, at, accuracy)
 
 
-def tdigest(c: Column | str, k: int = 200) -> Column:
+def kll(c: Column | str, k: int = 200) -> Column:
     """Aggregate: a mergeable quantile sketch of doubles (KLL)."""
     return F.kll_sketch_agg_double(c, F.lit(k))
 
 
-def tdigest_quantile(sketch: Column | str, q: float) -> Column:
+def kll_quantile(sketch: Column | str, q: float) -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
 
 

@@ -271,7 +271,7 @@ def _count_min(t: Tables) -> DataFrame:
 @query("quantiles_per_group", "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS median, true AS within FROM orders GROUP BY o_orderstatus")
 def _quantiles(t: Tables) -> DataFrame:
     """The KLL sketch's median lies between the exact 47th and 53rd percentiles."""
-    told = sketches.tdigest_quantile(sketches.tdigest("o_totalprice"), 0.5)
+    told = sketches.kll_quantile(sketches.kll("o_totalprice"), 0.5)
     exact = F.percentile("o_totalprice", [0.47, 0.5, 0.53])
     return t.orders.groupBy("o_orderstatus").agg(exact.alias("p"), told.alias("told")).select("o_orderstatus", F.col("p")[1].alias("median"), F.col("told").between(F.col("p")[0], F.col("p")[2]).alias("within"))
 

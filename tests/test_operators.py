@@ -1,6 +1,8 @@
 """Operators and functions, against hand-checked facts and, over random tables with nulls, against DuckDB."""
 
+import datetime
 import math
+import random
 
 import duckdb
 import pytest
@@ -66,6 +68,19 @@ def test_join_kinds(spark):
     assert relational.join(a, b, [("k", "j")], "left", F.col("y") == "none").where("y IS NOT NULL").count() == 0
     assert relational.not_in(a, "k", b, "j").count() == 0
     assert rows(relational.not_in(a, "k", b.where("j = 1"), "j").select("k")) == [(2,)]
+    assert rows(relational.not_in(a, "k", b.where("j = 9"), "j").select("k")) == sorted([(1,), (2,), (None,)], key=str)
+    assert rows(relational.not_in(a, "k", a.where("k = 1"), "k").select("k")) == [(2,)]
+
+
+def test_asof_over_days(spark):
+    """Buckets without a row of the right side take over what came before; null keys and times match nothing."""
+    rnd = random.Random(3)
+    when = lambda: rnd.choice([None, *[datetime.datetime(2024, 1, 1 + d, h) for d in (0, 1, 2, 5, 6) for h in (0, 7, 23)]])
+    left = [(rnd.choice(["a", "b", None]), when(), k) for k in range(60)]
+    right = list({(k, t): (k, t, n) for n in range(25) if (k := rnd.choice(["a", "b", None]), t := when())}.values())
+    got = relational.asof_join(spark.createDataFrame(left, "k string, ts timestamp_ntz, n int"), spark.createDataFrame(right, "k string, ts timestamp_ntz, v int"), "k", "ts", ["v"])
+    best = lambda k, t: max(((u, v) for j, u, v in right if k and t and j == k and u and u <= t), default=(None, None))[1]
+    assert rows(got) == sorted([(k, t, n, best(k, t)) for k, t, n in left], key=str)
 
 
 def test_range_asof_topk(spark):
@@ -75,6 +90,8 @@ def test_range_asof_topk(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, ts int")
     right = spark.createDataFrame([("a", 2, None), ("a", 5, 7), ("b", 10, 1)], "k string, ts int, v int")
     assert rows(relational.asof_join(left, right, "k", "ts", ["v"])) == [("a", 1, None), ("a", 5, 7), ("b", 9, None)]
+    for width in (1, 3, 100):
+        assert rows(relational.asof_join(left, right, "k", "ts", ["v"], lambda c: F.floor(c / width))) == [("a", 1, None), ("a", 5, 7), ("b", 9, None)]
     top = relational.top_k_per_group(spark.range(10).selectExpr("id % 2 AS g", "id"), ["g"], [F.desc("id")], 2)
     assert rows(top) == [(0, 6), (0, 8), (1, 7), (1, 9)]
 
