@@ -56,9 +56,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     keyed = rows.withColumn("digest", content_digest(F.col("text")))
     # One row per digest leaves each task, so a text that a third of the rows share costs no more than another.
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    if exists(spark, at):
-        distinct = distinct.join(spark.read.schema(CACHE_SCHEMA).parquet(at), "digest", "left_anti")
-    count_misses(distinct, file).write.mode("append").parquet(at)
+    if not exists(spark, at):
+        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(at)
+    known = spark.read.schema(CACHE_SCHEMA).parquet(at).select("digest")
+    # A cache of any size joins by shuffle or, below the checked size, by broadcast, as its files tell Catalyst; an empty one too.
+    misses = distinct.join(known, "digest", "left_anti")
+    count_misses(misses, file).write.mode("append").parquet(at)
     # Written first, so that both sides of the join are plain and the rows of a hot digest can be split.
     counts = stored(spark.read.schema(CACHE_SCHEMA).parquet(at).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     found = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest")

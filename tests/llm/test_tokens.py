@@ -58,3 +58,16 @@ def test_other_libraries_and_empty_table(spark, messy, tmp_path):
 def test_repeated_and_null_ids_stay(messy, tmp_path):
     got = count_tokens(messy(["a", "a", "b", None], [5, 5, None, None]), public_tokenizers.path(FILES[0]), f"file://{tmp_path}/c").collect()
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == [("5", 1), ("5", 1), ("None", 0), ("None", 1)]
+
+
+def test_stored_counts_are_joined_even_when_there_are_none(spark, messy, tmp_path, monkeypatch):
+    """The plan of the misses has the join with the cache, be it empty or filled; a repeated text is one miss."""
+    from tallyforge.llm import token_counts
+
+    seen = []
+    count = token_counts.count_misses
+    monkeypatch.setattr(token_counts, "count_misses", lambda misses, file: seen.append((misses._jdf.queryExecution().optimizedPlan().toString(), misses.count())) or count(misses, file))
+    path, cache = public_tokenizers.path(FILES[0]), f"file://{tmp_path}/d"
+    for texts in (["a", "b", "a", None], ["b", "c", ""]):
+        assert count_tokens(messy(texts), path, cache).count() == len(texts)
+    assert [n for _, n in seen] == [3, 1] and all("LeftAnti" in plan for plan, _ in seen)
