@@ -86,8 +86,9 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col, text, secrets``; secrets are structs (start, rank, stop, kind) by start, then by the rules' order.
 
-    Null text is empty and has none. A row's key is its id and a hash of its text, so repeated rows and null ids are each scanned
-    and kept; documents of one key have one text, or a verified superset of its candidates. Empty table: empty result. Texts are
+    Null text is empty and has none. A key is a hash of the text alone: repeated rows and null ids are each scanned
+    and kept, and rows of one text share its candidates. Texts whose hashes collide share the union of theirs; the regex is run on each
+    row's own text, so that costs time and loses nothing. Empty table: empty result. Texts are
     scanned whole, whatever their length; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

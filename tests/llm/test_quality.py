@@ -74,3 +74,31 @@ def test_no_labels_and_empty_table(spark, messy):
     assert len(tails) == 1
     assert select_quality(docs.limit(0), none).count() == 0
     assert CumulativeLink.fit(np.zeros(0, int), np.zeros(0, int), np.array([1, 1]), 3).tails(np.zeros(1)).shape == (1, 2)
+
+
+def test_fit_against_a_plain_optimiser():
+    """The penalised likelihood of the fit is close to the best that plain descent with numeric gradients finds on a small problem."""
+    rnd = np.random.default_rng(5)
+    n, m = 240, 4
+    x = rnd.random((n, m)) < 0.4
+    latent = x @ np.array([2.0, -1.5, 1.0, 0.0]) + rnd.logistic(size=n)
+    grades = np.digitize(latent, [-0.5, 1.0])
+    rows, feature = np.nonzero(x)
+    model = CumulativeLink.fit(rows, feature, grades, 3, shrink=0.0, rounds=600)
+    size = np.bincount(grades, minlength=3)
+    weight = np.minimum(4, size.max() / size)[grades]
+    weight = weight / weight.sum()
+
+    def loss(p):
+        w, (low, gap) = p[:m], p[m:]
+        cut = np.array([-np.inf, low, low + np.exp(gap), np.inf])
+        below = lambda t: 1 / (1 + np.exp(-np.clip(t - x @ w, -60, 60)))
+        return -(weight * np.log(np.maximum(below(cut[grades + 1]) - below(cut[grades]), 1e-12))).sum()
+
+    p, step = np.zeros(m + 2), 1e-5
+    for _ in range(3000):
+        grad = np.array([(loss(p + step * e) - loss(p - step * e)) / (2 * step) for e in np.eye(m + 2)])
+        p = p - 0.5 * grad
+    mine = np.append(model.weights[:m], [model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])])
+    assert loss(mine) <= loss(p) + 1e-3
+    np.testing.assert_allclose(mine[:m], p[:m], atol=0.15)
