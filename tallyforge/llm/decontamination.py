@@ -43,7 +43,7 @@ def _seed(h: Column, i: Column, mask: int) -> Column:
 def _whole_seed(h: Column, i: Column, n: int) -> Column:
     """The exact seed of the ``n`` words from ``i``; null where they overhang the end, and, of fewer than ``FEW``, where ``h`` has others."""
     fits = i + n <= F.size(h) if n >= FEW else F.size(h) == n
-    return F.when(fits, F.xxhash64(F.lit(len(MASKS) + n), *[F.get(h, i + k) for k in range(n)]))
+    return F.when(fits, F.xxhash64(F.lit(len(MASKS) + n), F.slice(h, i + 1, n)))
 
 
 def _bits(seed: Column) -> list[Column]:
@@ -52,27 +52,26 @@ def _bits(seed: Column) -> list[Column]:
 
 
 def _around(h: Column, i: Column) -> Column:
-    """The words around a seed, null beyond the ends."""
-    return F.transform(F.sequence(i - _BEFORE, i + WINDOW - 1), lambda p: F.get(h, p))
+    """The words around a seed, null before the first; beyond the last there are none."""
+    return F.concat(F.array_repeat(F.lit(None).cast("long"), F.greatest(_BEFORE - i, F.lit(0))), F.slice(h, F.greatest(i - _BEFORE, F.lit(0)) + 1, F.least(i, F.lit(_BEFORE)) + WINDOW))
 
 
-def _seeds(h: Column, i: Column, lengths: list[int]) -> list[Column]:
-    return [*[_seed(h, i, m) for m in range(len(MASKS))], *[_whole_seed(h, i, n) for n in lengths]]
+def _seeded(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows`` (with ``h``) for every place and each of its seeds: ``place, seed``, the latter null where it overhangs.
 
-
-def _seeded(h: Column, chosen, lengths: list[int]) -> Column:
-    """Array of (place, seeds, around) at the places that ``chosen(h, i)`` picks. ``h`` is bound once, not computed again per place."""
-    least = min([_SPAN, *lengths])
-    at = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - least), lambda i: chosen(h, i)) if chosen else F.sequence(F.lit(0), F.size(h) - least)
-    one = lambda h: F.transform(at(h), lambda i: F.struct(i.alias("place"), F.array(*_seeds(h, i, lengths)).alias("seeds"), _around(h, i).alias("around")))
-    return F.explode(F.transform(F.array(h), lambda h: F.when(F.size(h) >= least, one(h)))[0])
+    The generators, and filters and columns after them, are one loop of generated code, which no lambda function would be, and
+    ``h`` is not copied per place. Outer generators have no filter inferred below them, which would compute ``h`` twice.
+    """
+    last = F.size("h") - min([_SPAN, *lengths])
+    placed = rows.select("*", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("place"))
+    seeds = [_seed(F.col("h"), F.col("place"), m) for m in range(len(MASKS))] + [_whole_seed(F.col("h"), F.col("place"), n) for n in lengths]
+    return placed.select("*", F.explode_outer(F.array(*seeds)).alias("seed"))
 
 
 def item_seeds(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``seed, item, item_words, item_around`` for every word position of every item, and once for an item of fewer words than a mask."""
     rows = items.select(F.col(id_col).alias("item"), word_hashes(F.col(text_col)).alias("h"))
-    placed = rows.select("item", F.size("h").alias("item_words"), _seeded(F.col("h"), None, []).alias("s"))
-    long = placed.select(F.explode("s.seeds").alias("seed"), "item", "item_words", F.col("s.around").alias("item_around")).where("seed IS NOT NULL")
+    long = _seeded(rows, []).where("seed IS NOT NULL").select("seed", "item", F.size("h").alias("item_words"), _around(F.col("h"), F.col("place")).alias("item_around"))
     whole = F.coalesce(*[F.when(F.size("h") == n, _whole_seed(F.col("h"), F.lit(0), n)) for n in range(1, _SPAN)])
     short = rows.select(whole.alias("seed"), "item", F.size("h").alias("item_words"), _around(F.col("h"), F.lit(0)).alias("item_around")).where("seed IS NOT NULL")
     return long.unionByName(short).distinct()
@@ -104,12 +103,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, agreeing: float = 0.8, i
         first, second = _bits(seed)
         return set_at(first) & set_at(second)
 
-    def chosen(h: Column, i: Column) -> Column:
-        """Each seed is bound before it is tested, so that it is computed once; the test of a null seed is null, which chooses nothing."""
-        return F.coalesce(F.exists(F.array(*_seeds(h, i, lengths)), passes), F.lit(False))
-
-    rows = docs.select(F.col(id_col).alias("id"), _seeded(word_hashes(F.col(text_col)), chosen, lengths).alias("s"))
-    hits = rows.select("id", F.col("s.place").alias("place"), F.explode("s.seeds").alias("seed"), F.col("s.around").alias("around")).where("seed IS NOT NULL").join(tests, "seed")
+    rows = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("h"))
+    passed = _seeded(rows, lengths).where(passes(F.col("seed"))).select("id", "place", "seed", _around(F.col("h"), F.col("place")).alias("around"))
+    hits = passed.join(tests, "seed")
     agree = F.zip_with("around", "item_around", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     sums = F.transform(F.array(agree), lambda g: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(_BEFORE)), lambda t: F.aggregate(F.slice(g, t + 1, WINDOW), F.lit(0), lambda x, y: x + y))))[0]
     met = hits.select("id", "item", "place", "item_words", sums.alias("most")).where(F.col("most") >= F.ceil(F.lit(agreeing) * F.least(F.col("item_words"), F.lit(WINDOW))))
