@@ -73,6 +73,14 @@ def make_date(year: Column, month: Column, day: Column) -> Column:
     return F.make_date(year, month, day)
 
 
+def make_time(hour: Column, minute: Column, second: Column) -> Column:
+    """A time of day as text, HH:MM:SS and the microseconds without their last zeros: Spark's TIME needs a switch of the session. Null if a part is
+    null, an error beyond 0-23, 0-59 and 0-59.999999."""
+    below = F.when(second >= 60, F.raise_error(F.lit("seconds must be below 60"))).otherwise(second)
+    at = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), hour, minute, below)
+    return F.substring(at.cast("string"), 12, 15)
+
+
 def parse_date(text: Column) -> Column:
     """A date from yyyy-mm-dd, or null."""
     return F.try_to_date(text, "yyyy-MM-dd")

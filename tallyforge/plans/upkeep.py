@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import data_folder
 from tallyforge.engine import Engine
+from tallyforge.functions import datetimes
 from tallyforge.operators import bitmaps, similarity, sketches
 from tallyforge.plans.registry import Tables, query, same
 from tallyforge.sources import files
@@ -244,10 +245,15 @@ def _spelling(t: Tables) -> DataFrame:
 
 
 same("time_now", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate < now() GROUP BY o_orderstatus")
-same("time_make", "SELECT n_nationkey, CAST(make_time(CAST(n_nationkey % 24 AS INT), CAST(n_nationkey * 2 AS INT), CAST(n_nationkey AS DECIMAL(16, 6))) AS STRING) AS at FROM nation", "SELECT n_nationkey, CAST(make_time(n_nationkey % 24, n_nationkey * 2, CAST(n_nationkey AS DOUBLE)) AS VARCHAR) AS at FROM nation")
 same("timestamp_split", "SELECT event_id, CAST(ts AS DATE) AS d, date_format(ts, 'HH:mm:ss') AS s FROM events", "SELECT event_id, CAST(ts AS DATE) AS d, strftime(ts, '%H:%M:%S') AS s FROM events")
 
 
+@query("time_make", "SELECT n_nationkey, CAST(make_time(n_nationkey % 24, n_nationkey * 2, CAST(n_nationkey AS DOUBLE)) AS VARCHAR) AS at FROM nation")
+def _time_make(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    return t.nation.select(k, datetimes.make_time((k % 24).cast("int"), (k * 2).cast("int"), k.cast("decimal(16,6)")).alias("at"))
+
+
 # ---------------------------------------------------------------- sketches, with the true values beside what they must be near to
 
 

@@ -1,10 +1,15 @@
 """Every query over files, views, upkeep, sketches and bitmaps against its oracle; versions as lists of files; constraints."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallyforge.engine import Engine
 from tallyforge.errors import InvalidArgument
+from tallyforge.functions.datetimes import make_time
 from tallyforge.plans import upkeep
 from tallyforge.plans.registry import TABLES
 from tallyforge.queries import ORACLES, QUERIES
@@ -25,6 +30,23 @@ def test_oracle(spark, name):
     assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, found.fetchall()))
 
 
+def test_time_make_in_a_plain_session(spark):
+    """The answers do not rest on Spark's switch for TIME, which is off by default."""
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.timeType.enabled", "false")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM read_parquet('{SF}/nation.parquet')")
+    df = QUERIES["time_make"](plain, SF)
+    assert sorted(map(tuple, df.select("n_nationkey", "at").collect())) == sorted(con.execute(ORACLES["time_make"]).fetchall())
+    parts = "h int, m int, s decimal(16,6)"
+    made = lambda *row: plain.createDataFrame([row], parts).select(make_time(F.col("h"), F.col("m"), F.col("s"))).first()[0]
+    for row in ((0, 0, Decimal(0)), (23, 59, Decimal("59.999999")), (1, 2, Decimal("3.500000")), (None, 2, Decimal(3)), (1, 2, None)):
+        assert made(*row) == con.execute("SELECT CAST(make_time(?::INT, ?::INT, ?::DOUBLE) AS VARCHAR)", row).fetchone()[0]
+    for row in ((24, 0, Decimal(0)), (1, 60, Decimal(0)), (1, 2, Decimal(60)), (-1, 2, Decimal(3))):
+        with pytest.raises(PySparkException):
+            made(*row)
+
+
 def test_changes_leave_other_files(spark):
     e = Engine(spark)
     e.sql("CREATE TABLE listed (id INT, name TEXT)")
