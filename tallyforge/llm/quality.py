@@ -5,7 +5,8 @@ capitals, marks or repetition, each in steps). Ordered thresholds cut the score:
 gives the expected grade, and the tail probability P(grade >= k) by which documents are selected.
 
 The weights are fitted on at most ``MOST_LABELLED`` labelled rows, those whose hashed ids are smallest, by proximal full-batch
-gradient steps; only hashed feature numbers of these rows reach the driver. Every document is scored, over its whole text.
+gradient steps; only hashed feature numbers of these rows reach the driver, which holds them as 32-bit numbers, by row and by feature, and
+adds them up in blocks. Every document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.textbytes import LETTERED, SPACED, byte_table, mix, slices, words
+from tallyforge.llm.textbytes import LETTERED, SPACED, byte_table, give_back, mix, slices, words
 
 #: The bound of the labelled sample, and the number of hashed weights.
 MOST_LABELLED, BITS = 12_000, 18
+#: Features that the fit takes at a time; it bounds temporary memory and has no part in the result.
+_BLOCK = 1 << 16
 _MARKS = byte_table(bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or b in (32, *range(9, 14))), fold=False)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -65,6 +68,43 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
+def _blocks(at: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of lists, of about ``_BLOCK`` entries together; list k has the entries at[k] to at[k + 1]."""
+    out, first = [], 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _BLOCK, "right")) - 1)
+        out.append((first, last))
+        first = last
+    return out
+
+
+def _lists(at: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The list of each entry of a block, from 0."""
+    return np.repeat(np.arange(last - first), np.diff(at[first : last + 1]))
+
+
+def _sums(values: np.ndarray, entries: np.ndarray, at: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The sum of ``values`` at each list's entries, added in their order. All entries are in range: clipping only spares a check."""
+    out = np.zeros(len(at) - 1)
+    for a, b in blocks:
+        out[a:b] = np.bincount(_lists(at, a, b), values.take(entries[at[a] : at[b]], mode="clip"), minlength=b - a)
+    return out
+
+
+def _turned(entries: np.ndarray, at: np.ndarray, blocks: list[tuple[int, int]], turned_at: np.ndarray) -> np.ndarray:
+    """The lists that hold each entry, ascending, one entry after the other; ``turned_at`` is where each begins and ends."""
+    out, place = np.empty(len(entries), np.int32), turned_at[:-1].copy()
+    for a, b in blocks:
+        here = entries[at[a] : at[b]]
+        order = np.argsort(here, kind="stable")
+        here = here[order]
+        first = np.flatnonzero(np.diff(here, prepend=-1))
+        size = np.diff(first, append=len(here))
+        out[place[here] + np.arange(len(here)) - np.repeat(first, size)] = a + _lists(at, a, b)[order]
+        place[here[first]] += size
+    return out
+
+
 @dataclass
 class CumulativeLink:
     """Shared weights and ascending thresholds; grades are 0 to len(thresholds)."""
@@ -86,10 +126,23 @@ class CumulativeLink:
         share = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n
         share = np.clip(share, 1e-3, 1 - 1e-3)
         thresholds = np.maximum.accumulate(np.log(share / (1 - share))) + 1e-3 * np.arange(n_grades - 1)
-        seen = np.bincount(feature, minlength=1 << BITS)
-        keep = seen[feature] >= least
-        rows, feature = rows[keep], feature[keep]
-        used, column = np.unique(feature, return_inverse=True)
+        if (rows[1:] < rows[:-1]).any():
+            order = np.argsort(rows, kind="stable")
+            rows, feature = rows[order], feature[order]
+        seen = np.zeros(1 << BITS, np.int64)
+        for k in range(0, len(feature), _BLOCK):
+            seen += np.bincount(feature[k : k + _BLOCK], minlength=1 << BITS)
+        used = np.flatnonzero(seen >= max(least, 1))
+        number = np.full(1 << BITS, -1, np.int32)
+        number[used] = np.arange(len(used), dtype=np.int32)
+        column = number[feature]
+        keep = column >= 0
+        rows, column = rows[keep], column[keep]
+        # The same entries twice: the columns of each row, and the rows of each column.
+        by_row, by_column = np.searchsorted(rows, np.arange(n + 1, dtype=rows.dtype)), np.concatenate([[0], np.cumsum(seen[used])])
+        row_blocks, column_blocks = _blocks(by_row), _blocks(by_column)
+        del rows, feature, keep
+        row = _turned(column, by_row, row_blocks, by_column)
         w, g2, t2 = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(n_grades - 1, 1e-8)
         # Each grade weighs alike up to a factor of four, so that rare ones count.
         size = np.bincount(grades, minlength=n_grades)
@@ -98,13 +151,13 @@ class CumulativeLink:
         upper, lower = np.append(thresholds, np.inf), np.insert(thresholds, 0, -np.inf)
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
         for _ in range(rounds):
-            score = np.bincount(rows, w[column], minlength=n)
+            score = _sums(w, column, by_row, row_blocks)
             upper, lower = np.append(thresholds, np.inf), np.insert(thresholds, 0, -np.inf)
             a, b = sigmoid(upper[grades] - score), sigmoid(lower[grades] - score)
             da, db = a * (1 - a), b * (1 - b)
             p = np.maximum(a - b, 1e-12)
             grad_score = weight * (da - db) / p
-            grad = np.bincount(column, grad_score[rows], minlength=len(used))
+            grad = _sums(grad_score, row, by_column, column_blocks)
             at = np.zeros(n_grades - 1)
             for k in range(n_grades - 1):
                 at[k] = -(weight * np.where(grades == k, da, 0) / p).sum() + (weight * np.where(grades == k + 1, db, 0) / p).sum()
@@ -144,9 +197,14 @@ def fit(docs: DataFrame, rated: DataFrame, *, id_col: str = "doc_id", text_col:
     got = rows.select("id", "grade", "text").mapInArrow(hashed, "id long, grade int, features binary")
     # A repeated id counts once, or copies could outgrow the bound.
     got = got.groupBy("id", "grade").agg(F.min("features").alias("features")).orderBy("id").toArrow()
-    lists = [np.frombuffer(x.as_py(), np.int32) for x in got.column("features")]
-    rows_, feature = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int64)
-    return CumulativeLink.fit(rows_, feature, np.array(got.column("grade").to_pylist(), np.int64), n_grades, **how)
+    grades = np.array(got.column("grade").to_pylist(), np.int64)
+    lists = [(np.diff(offsets), data) for chunk in got.column("features").chunks for _, data, offsets in slices(chunk, 1 << 62)]
+    size = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in lists)]) // 4
+    feature = np.concatenate([np.zeros(0, np.uint8), *(data for _, data in lists)]).view(np.int32)
+    del got, lists
+    model = CumulativeLink.fit(np.repeat(np.arange(len(size), dtype=np.int32), size), feature, grades, n_grades, **how)
+    give_back()
+    return model
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from llm.conftest import EDGES, prose
 
+from tallyforge.llm import quality as quality_module
 from tallyforge.llm.quality import CumulativeLink, features, fit, score, select_quality
 from tallyforge.llm.textbytes import slices
 
@@ -67,6 +69,25 @@ def test_thresholds_are_ordered_and_fit_is_repeatable(spark, messy):
     assert np.count_nonzero(bounded.weights) < np.count_nonzero(a.weights)
 
 
+def test_fit_holds_little_memory(monkeypatch):
+    """All arrays of the fit together take less than 32 bytes a feature, and the blocks in which it adds up have no part in the result."""
+    rnd = np.random.default_rng(4)
+    n = 4000
+    key = np.unique(np.repeat(np.arange(n), 250) << 18 | (200_000 * rnd.random(250 * n) ** 3).astype(np.int64))
+    rows, feature, grades = (key >> 18).astype(np.int32), (key & (1 << 18) - 1).astype(np.int32), rnd.integers(0, 3, n)
+    tracemalloc.start()
+    try:
+        model = CumulativeLink.fit(rows, feature, grades, 3, rounds=3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * len(rows)
+    mixed = rnd.permutation(len(rows))
+    np.testing.assert_allclose(CumulativeLink.fit(rows[mixed], feature[mixed], grades, 3, rounds=3).weights, model.weights, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(quality_module, "_BLOCK", 777)
+    np.testing.assert_array_equal(CumulativeLink.fit(rows, feature, grades, 3, rounds=3).weights, model.weights)
+
+
 def test_no_labels_and_empty_table(spark, messy):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = messy(EDGES)
