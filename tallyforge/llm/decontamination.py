@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.shared import give_back_driver
+
 #: Fixed masks; 0 is an ignored position.
 MASKS = ("11101001011", "1101100010111", "1011010011101")
 WINDOW = 20
@@ -92,11 +94,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, *, agreeing: float = 0.8, i
     looked for in the whole text. Either table may be empty: no pairs. Other columns are ignored.
     """
     tests = item_seeds(items, id_col=item_id_col, text_col=item_text_col)
-    # Fixed in size; as text it becomes a literal of the plan, which the optimizer folds to an array once.
-    numbers = bloom_filter(tests).select(F.array_join(F.col("bloom").cast("array<string>"), ",").alias("bloom")).first()["bloom"]
     # At most as many as a mask has places; other lengths need no seeds.
     lengths = sorted(r["item_words"] for r in tests.where(F.col("item_words") < _SPAN).select("item_words").distinct().collect())
-    bloom = F.split(F.lit(numbers), ",").cast("array<bigint>")
+    give_back_driver(docs.sparkSession)
+    # Fixed in size, and found when the plan runs: as a literal its numbers would be in every text of the plan that the driver makes and keeps.
+    bloom = bloom_filter(tests).scalar()
     set_at = lambda bit: F.getbit(F.get(bloom, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def passes(seed: Column) -> Column:

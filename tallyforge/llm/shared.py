@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made by this process, for ``clean``.
@@ -38,6 +39,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Return free native memory of the driver's JVM to the system; a long run of statements piles it up."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        # By reflection, as the server's own class is not accessible.
+        types, values = gateway.new_array(jvm.Class, 4), gateway.new_array(jvm.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[k] = jvm.Class.forName(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
+    except Py4JError:  # a JVM without this command
+        pass
+
+
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``df`` as Parquet; the shuffle files behind it are gone afterwards."""
     spark = df.sparkSession
@@ -50,6 +66,7 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
             spark.conf.unset(_FILE_CLEANUP)
         else:
             spark.conf.set(_FILE_CLEANUP, before)
+        give_back_driver(spark)
 
 
 def stored(df: DataFrame, label: str, scratch: list[DataFrame] | None = None) -> DataFrame:

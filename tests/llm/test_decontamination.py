@@ -89,3 +89,11 @@ def test_native_empty_and_repeated(spark, messy):
     assert find_overlaps(docs.limit(0), tests).count() == 0
     assert find_overlaps(docs, tests.limit(0)).count() == 0
     assert without_overlaps(docs, tests.limit(0)).count() == 3
+
+
+def test_the_plan_does_not_spell_the_filter_out(spark, messy):
+    tests = spark.createDataFrame([(k, prose(random.Random(k), 30)) for k in range(3)], "item_id long, text string")
+    found = find_overlaps(messy([prose(random.Random(1), 30), "other"]), tests)
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(0, 1)]
+    # The driver makes and keeps such a text for every run, and again for every change of the plan.
+    assert not re.search(r"(-?\d+, ?){1000}", found._jdf.queryExecution().executedPlan().toString())
