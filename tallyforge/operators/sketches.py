@@ -8,11 +8,14 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import bitmaps
+
 
 def hll_error(p: int) -> float:
     """Relative standard error with 2**p registers."""
@@ -36,25 +39,50 @@ def approximate_distinct(c: Column | str, p: int = 12) -> Column:
     return F.approx_count_distinct(c, hll_error(p))
 
 
+def _buckets(c: str, depth: int, width: int) -> list[Column]:
+    """The key's bucket in each row."""
+    return [F.pmod(F.xxhash64(F.lit(d), c), F.lit(width)) for d in range(depth)]
+
+
+def _cells(c: str, depth: int, width: int) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(d).alias("row"), bucket.alias("bucket")) for d, bucket in enumerate(_buckets(c, depth, width))]))
+
+
 def count_min(df: DataFrame, c: str, depth: int = 5, width: int = 2048) -> DataFrame:
     """``row, bucket, n``: at most depth x width counters, summed in each task first."""
-    buckets = F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64(F.lit(d), c), F.lit(width)).alias("bucket")) for d in range(depth)])
-    return df.where(F.col(c).isNotNull()).select(F.explode(buckets).alias("b")).groupBy("b.row", "b.bucket").agg(F.count("*").alias("n"))
+    return df.where(F.col(c).isNotNull()).select(_cells(c, depth, width).alias("b")).groupBy("b.row", "b.bucket").agg(F.count("*").alias("n"))
 
 
 def count_min_merge(*sketches: DataFrame) -> DataFrame:
-    from functools import reduce
-
     return reduce(DataFrame.unionByName, sketches).groupBy("row", "bucket").agg(F.sum("n").alias("n"))
 
 
 def count_min_estimate(sketch: DataFrame, keys: DataFrame, c: str, depth: int = 5, width: int = 2048) -> DataFrame:
     """``c, estimate`` per distinct key: never below the true count."""
-    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64(F.lit(d), c), F.lit(width)).alias("bucket")) for d in range(depth)]))
-    asked = keys.select(c).distinct().select(c, cells.alias("b")).select(c, "b.row", "b.bucket")
+    asked = keys.select(c).distinct().select(c, _cells(c, depth, width).alias("b")).select(c, "b.row", "b.bucket")
     return asked.join(sketch, ["row", "bucket"], "left").groupBy(c).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+def count_min_exact(df: DataFrame, c: str, depth: int = 5, width: int = 2048) -> DataFrame:
+    """``c, n`` per distinct key, null among them: the true counts, however many keys there are.
+
+    The counters also hold their least and greatest key. One that has a single key is exact, and so that key's estimate. Keys that share
+    all their counters are counted in a second pass, as are rows without a key, which are in no counter. The filter for these is one row
+    of a bit for each counter, so its broadcast is bounded whatever the table's size."""
+    cells = df.where(F.col(c).isNotNull()).select(c, _cells(c, depth, width).alias("b")).groupBy("b.row", "b.bucket")
+    counters = cells.agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high"))
+    told = counters.where("low = high").groupBy(F.col("low").alias(c)).agg(F.min("n").alias("n"))
+    # ``n > 1`` follows from the rest; with it this reads the same columns as ``told``, so Spark fills the counters once for both.
+    placed = counters.withColumn("cell", F.col("row").cast("long") * width + F.col("bucket"))
+    none = df.sparkSession.range(-(-depth * width // 64)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bitmaps.either(none, bitmaps.bitmap(placed, "cell", (F.col("n") > 1) & (F.col("low") != F.col("high"))))
+    shared = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("_shared"))
+    at = [F.lit(d).cast("long") * width + bucket for d, bucket in enumerate(_buckets(c, depth, width))]
+    all_shared = reduce(Column.__and__, [F.getbit(F.get("_shared", F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1 for x in at])
+    rest = df.select(c).join(F.broadcast(shared)).where(F.col(c).isNull() | all_shared)
+    return told.unionByName(rest.groupBy(c).agg(F.count("*").alias("n")))
+
+
 def quantiles(c: Column | str, at: list[float], accuracy: int = 10_000) -> Column:
     """Aggregate: approximate quantiles, off by a rank of at most 1/accuracy."""
     return F.percentile_approx(c, at, accuracy)

@@ -188,6 +188,16 @@ def test_sketches(spark):
     assert c(0.1) == pytest.approx(0.15)
 
 
+def test_count_min_exact(spark):
+    """Right where some, most or all of the counters are shared, for a key that has most rows, for rows without a key, and for none."""
+    t = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id % 900 WHEN id % 7 > 0 THEN -id END AS k", "CAST(id % 50 AS STRING) AS s")
+    for c, depth, width in (("k", 6, 1 << 16), ("k", 3, 2048), ("k", 2, 100), ("k", 1, 1), ("s", 2, 70)):
+        got = sketches.count_min_exact(t, c, depth, width)
+        assert got.columns == [c, "n"]
+        assert rows(got) == rows(t.groupBy(c).count()), (c, depth, width)
+    assert rows(sketches.count_min_exact(t.where("k > 5000"), "k")) == []
+
+
 def test_similarity(spark):
     t = spark.createDataFrame([(0b1010, [1.0, 0.0]), (0b1011, [0.0, 2.0]), (0, [0.0, 0.0])], "x long, v array<double>")
     assert rows(similarity.within_hamming(t, "x", 0b1010, 1).select("x")) == [(10,), (11,)]

@@ -29,3 +29,15 @@ def test_oracle(spark, name):
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_count_min_with_many_keys(spark, tmp_path):
+    """More keys than the sketch has counters to themselves, and rows without a key."""
+    path = tmp_path / "lineitem.parquet"
+    duckdb.sql(f"COPY (SELECT CASE WHEN i % 100 > 0 THEN i * i % 80021 END AS l_suppkey FROM range(120000) r(i)) TO '{path}' (FORMAT parquet)")
+    df = QUERIES["count_min"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{path}')")
+    asked = con.execute(ORACLES["count_min"]).fetchall()
+    assert len(asked) > 30000
+    assert sorted(map(str, map(tuple, df.select("l_suppkey", "n").collect()))) == sorted(map(str, asked))
